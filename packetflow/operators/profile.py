@@ -11,8 +11,6 @@ is defined; only the named columns are read.
 
 from __future__ import annotations
 
-from functools import reduce
-
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
 from packetflow.functions.text import blank_to_null
@@ -26,7 +24,8 @@ _NUMBER = r"([0-9]+|[0-9]{1,3}(?:,[0-9]{3})+)"
 
 def vin_ok(vin: Column, digits: Column) -> Column:
     """17 characters without I, O, Q and the right check digit; digits is vin with letters replaced by their values."""
-    total = reduce(lambda a, b: a + b, [F.ascii(F.substring(digits, i + 1, 1)) * w for i, w in enumerate(VIN_WEIGHTS) if w]) - 48 * sum(VIN_WEIGHTS)
+    weights = F.array(*[F.lit(w) for w in VIN_WEIGHTS])
+    total = F.aggregate(F.sequence(F.lit(1), F.lit(17)), F.lit(0), lambda a, i: a + F.element_at(weights, i) * (F.ascii(F.substr(digits, i, F.lit(1))) - 48))
     check = F.lit("0123456789X").substr(total % 11 + 1, F.lit(1))
     return vin.rlike("^[A-HJ-NPR-Z0-9]{17}$") & (F.substring(vin, 9, 1) == check)
 

@@ -52,7 +52,7 @@ WITH long AS (
   FROM long
 ), checked AS (
   SELECT *, CASE WHEN field_name = 'odometer_reading' AND raw_number <= 499999 OR field_name = 'purchase_price' AND raw_number BETWEEN 500 AND 400000 THEN raw_number END AS number,
-    list_sum(list_transform(range(1, 18), i -> (instr('0123456789', substr(translate(vin, 'ABCDEFGHJKLMNPRSTUVWXYZ', '12345678123457923456789'), i, 1)) - 1) * [8,7,6,5,4,3,2,10,0,9,8,7,6,5,4,3,2][i])) % 11 AS rest
+    list_sum(list_transform(range(1, 18), lambda i: (instr('0123456789', substr(translate(vin, 'ABCDEFGHJKLMNPRSTUVWXYZ', '12345678123457923456789'), i, 1)) - 1) * [8,7,6,5,4,3,2,10,0,9,8,7,6,5,4,3,2][i])) % 11 AS rest
   FROM numbered
 ), judged AS (
   SELECT extraction_id, feed_id, load_no, load_id, field_name, value, number, CASE WHEN value IS NULL THEN NULL

@@ -25,7 +25,7 @@ from pyspark.sql import DataFrame, functions as F
 
 from packetflow.functions.text import strip
 from packetflow.llm.editing import deletion_keys, osa, skeleton, squeeze_runs
-from packetflow.session import cut_lineage
+from packetflow.session import cut_lineage, spread
 
 FIELDS = ("vehicle_color", "driver_eyes_color", "vehicle_make", "plate_type")
 EDITS = 2
@@ -178,7 +178,7 @@ def repaired_tokens(tokens_df: DataFrame, vocabulary: dict[str, dict[str, list[t
                     out.append((f, t, word, sure * (1 - d / (len(form) + 2))))
             yield pd.DataFrame(out, columns=["field_name", "token", "word", "sim"])
 
-    keyed = tokens_df.mapInPandas(keys, "field_name string, token string, key string")
+    keyed = spread(tokens_df, "field_name", "token").mapInPandas(keys, "field_name string, token string, key string")
     pairs = keyed.join(vocab, ["field_name", "key"]).select("field_name", "token", "form", "word", "sure").distinct()
     return pairs.mapInPandas(verify, "field_name string, token string, word string, sim double").groupBy("field_name", "token", "word").agg(F.max("sim").alias("sim"))
 
@@ -274,7 +274,7 @@ def map_values(extractions: DataFrame, canonical: DataFrame, fields: tuple[str,
             yield pd.DataFrame(out, columns=["field_name", "raw_value", "canonical_id", "score", "n"])
 
     exploded = values.mapInPandas(expand, "field_name string, raw_value string, n bigint, token string")
-    joined = exploded.join(repairs, ["field_name", "token"], "left")
+    joined = spread(exploded.join(repairs, ["field_name", "token"], "left"), "field_name", "raw_value")
     hit = F.when(F.col("word").isNotNull(), F.struct("token", "word", "sim"))
     grouped = joined.groupBy("field_name", "raw_value").agg(F.max("n").alias("n"), F.collect_list(hit).alias("found"))
     return grouped.mapInPandas(rank, "field_name string, raw_value string, canonical_id int, score double, n bigint")

@@ -14,6 +14,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
 from packetflow.functions.text import blank_to_null
+from packetflow.session import cut_lineage
 
 FIELDS = ("vehicle_vin", "odometer_reading", "purchase_price", "driver_dob")
 #: The standard check-digit weights and letter values of vehicle identification numbers.
@@ -146,5 +147,5 @@ def malformed_rows(extractions: DataFrame) -> DataFrame:
 def found_quality(extractions: DataFrame) -> DataFrame:
     """(field_name, scope, key_id): malformed rows and loads that differ from the one before."""
     rows = malformed_rows(extractions).select("field_name", F.lit("row").alias("scope"), F.col("extraction_id").alias("key_id"))
-    loads = compared(load_profile(value_counts(extractions))).filter("shifted_fill or shifted_mode or shifted_median")
+    loads = compared(load_profile(cut_lineage(value_counts(extractions)))).filter("shifted_fill or shifted_mode or shifted_median")
     return rows.unionByName(loads.select("field_name", F.lit("load").alias("scope"), F.col("load_id").alias("key_id")).distinct())

@@ -21,6 +21,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, functions as F
 
 from packetflow.llm.words import _WORD, folded, plain, words
+from packetflow.session import cut_lineage
 
 #: A vague message counts when at least so many documents of so many sources carry it.
 RECURS_DOCUMENTS, RECURS_SOURCES = 3, 2
@@ -195,7 +196,7 @@ def recurring(found: DataFrame) -> DataFrame:
 
 def residue(documents: DataFrame) -> DataFrame:
     """(doc_id, kinds array<string>) of the documents to leave out."""
-    found = messages(documents)
+    found = cut_lineage(messages(documents))  # read three times below
     vague = found.filter("not sure").join(recurring(found), "hash", "left_semi")
     rows = found.filter("sure").select("doc_id", "kind").unionByName(vague.select("doc_id", "kind"))
     return rows.groupBy("doc_id").agg(F.array_sort(F.collect_set("kind")).alias("kinds"))

@@ -13,21 +13,20 @@ def star_edges(keyed: DataFrame, key: list[str], node: str = "node") -> DataFram
     return keyed.join(hubs, key).select(F.col(node).alias("a"), "b").filter("a <> b").distinct()
 
 
-def components(edges: DataFrame, rounds: int = 40) -> DataFrame:
+def components(edges: DataFrame, rounds: int = 60) -> DataFrame:
     """(node, component): the smallest node reachable over the edges (a, b), for every node of an edge.
 
-    Every round each node takes the smallest label around it and then that label's own label; small components need
-    three or four rounds. Labels are written to the checkpoint folder each round.
+    Every round each node takes the smallest label among its own and its neighbours'; as edges lead to the hubs of stars,
+    that takes a few rounds. A round is one join and one combined aggregate, written to the checkpoint folder.
     """
-    both = cut_lineage(edges.select("a", "b").unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct())
-    labels = cut_lineage(both.groupBy(F.col("a").alias("node")).agg(F.min("b").alias("m")).select("node", F.least("node", "m").alias("component")))
+    edges = cut_lineage(edges.select("a", "b"))
+    ends = edges.select("a", "b").unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
+    around = cut_lineage(ends.unionByName(ends.select("a", F.col("a").alias("b"))).distinct())
+    labels = around.groupBy(F.col("a").alias("node")).agg(F.min("b").alias("component"))
     for _ in range(rounds):
-        around = both.join(labels.select(F.col("node").alias("b"), "component"), "b").groupBy(F.col("a").alias("node")).agg(F.min("component").alias("m"))
-        nearer = labels.join(around, "node", "left").select("node", F.least("component", F.coalesce("m", "component")).alias("n"), F.col("component").alias("old"))
-        jump = labels.select(F.col("node").alias("n"), F.col("component").alias("j"))
-        new = cut_lineage(nearer.join(jump, "n", "left").select("node", F.least("n", F.coalesce("j", "n")).alias("component"), "old"))
-        changed = new.filter("component <> old").limit(1).count()
-        labels = new.select("node", "component")
-        if not changed:
+        known = labels.select(F.col("node").alias("b"), "component")
+        own = F.max(F.when(F.col("a") == F.col("b"), F.col("component")))
+        labels = cut_lineage(around.join(known, "b").groupBy(F.col("a").alias("node")).agg(F.min("component").alias("component"), own.alias("old")))
+        if not labels.agg(F.max(F.col("component") < F.col("old"))).first()[0]:
             break
-    return labels
+    return labels.select("node", "component")

@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from packetflow.plans import profiles
+from packetflow.plans import images, packets, profiles, readings
 
-_MODULES = (profiles,)
+_MODULES = (packets, readings, images, profiles)
 
 QUERIES = {k: q for m in _MODULES for k, q in m.QUERIES.items()}
 ORACLE = {k: q for m in _MODULES for k, q in m.ORACLE.items()}

@@ -142,13 +142,13 @@ SELECT packet_id, coalesce(n_documents, 0) AS n_documents, coalesce(g.empty_page
     "q_validity": _COVER + " SELECT packet_id, is_complete, packet_id NOT IN (SELECT packet_id FROM conflicts) AS is_contiguous, is_complete AND packet_id NOT IN (SELECT packet_id FROM conflicts) AS is_valid FROM cover",
     "q_recovery_targets": _DOCS
     + """, asked AS (SELECT DISTINCT packet_id, page AS page_no FROM empties WHERE page IS NOT NULL
-), renumbered AS (SELECT *, row_number() OVER (PARTITION BY packet_id ORDER BY doc_ord) - 1 AS at FROM docs
+), renumbered AS (SELECT *, row_number() OVER (PARTITION BY packet_id ORDER BY doc_ord) - 1 AS pos FROM docs
 ), ranked AS (
-  SELECT a.packet_id, a.page_no, r.at, CASE WHEN list_contains(r.pages, a.page_no - 1) THEN 1 WHEN list_max(r.pages) < a.page_no THEN 2 WHEN list_min(r.pages) > a.page_no THEN 3 ELSE 4 END AS rule,
-    CASE WHEN list_contains(r.pages, a.page_no - 1) THEN r.at WHEN list_max(r.pages) < a.page_no THEN -list_max(r.pages) WHEN list_min(r.pages) > a.page_no THEN list_min(r.pages) ELSE r.at END AS nearest
+  SELECT a.packet_id, a.page_no, r.pos, CASE WHEN list_contains(r.pages, a.page_no - 1) THEN 1 WHEN list_max(r.pages) < a.page_no THEN 2 WHEN list_min(r.pages) > a.page_no THEN 3 ELSE 4 END AS rule,
+    CASE WHEN list_contains(r.pages, a.page_no - 1) THEN r.pos WHEN list_max(r.pages) < a.page_no THEN -list_max(r.pages) WHEN list_min(r.pages) > a.page_no THEN list_min(r.pages) ELSE r.pos END AS nearest
   FROM asked a JOIN renumbered r ON r.packet_id = a.packet_id
-), best AS (SELECT *, row_number() OVER (PARTITION BY packet_id, page_no ORDER BY rule, nearest, at) AS k FROM ranked)
-SELECT packet_id, page_no, CAST(b.at AS INTEGER) AS doc_ord FROM asked LEFT JOIN (SELECT * FROM best WHERE k = 1) b USING (packet_id, page_no)""",
+), best AS (SELECT *, row_number() OVER (PARTITION BY packet_id, page_no ORDER BY rule, nearest, pos) AS k FROM ranked)
+SELECT packet_id, page_no, CAST(b.pos AS INTEGER) AS doc_ord FROM asked LEFT JOIN (SELECT * FROM best WHERE k = 1) b USING (packet_id, page_no)""",
     "q_file_names": _DOCS + r""" SELECT packet_id, doc_ord, coalesce(nullif(substr(regexp_replace(trim(regexp_replace(replace(strip_accents(doc_name), chr(160), ' '), '[^A-Za-z0-9_\s\-().]', '', 'g'), E' \t\n\r'), '\s+', '_', 'g'), 1, 120), ''), 'document') AS file_name FROM docs""",
     "q_excluded": _DOCS + f" SELECT packet_id, doc_ord, doc_type FROM docs WHERE doc_type IN ({_list(SKIP_EXTRACT)})",
     "q_processable": _DOCS + f" SELECT packet_id, doc_ord, doc_type FROM docs WHERE doc_type IS NULL OR doc_type NOT IN ({_list(SKIP_EXTRACT)})",

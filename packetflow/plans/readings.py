@@ -93,7 +93,7 @@ _HYPOTHESES = f"""
 WITH once AS (SELECT DISTINCT ON (extraction_id) * FROM extractions
 ), allowed(t, f) AS (VALUES {_ALLOWED}
 ), long AS (
-  SELECT extraction_id, packet_id, document_type, source_document_name, r.field, nullif({_TRIM("r.v")}, '') AS value, greatest(0.0, least(1.0, r.c)) AS confidence
+  SELECT extraction_id, packet_id, document_type, source_document_name, r.field, nullif({_TRIM("r.v")}, '') AS value, CASE WHEN r.c IS NOT NULL THEN greatest(0.0, least(1.0, r.c)) END AS confidence
   FROM (SELECT extraction_id, packet_id, document_type, source_document_name, unnest([{_FIELDS}]) AS r FROM once)
 ), hypotheses AS (
   SELECT long.* FROM long JOIN allowed ON allowed.f = long.field AND allowed.t = CASE WHEN document_type IN ({_quoted(refdata.DOCUMENT_TYPES)}) THEN document_type ELSE 'other' END

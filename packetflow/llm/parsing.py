@@ -197,12 +197,12 @@ def firm_name(text: str, city: str | None, towns: frozenset[str] = frozenset())
     if not words:
         return None
     if not town:
+        town = town_of(city, towns) if city else ""
         for n in range(min(4, len(words) - 1), 0, -1):  # the town may stand first
-            if (first := town_of(" ".join(words[:n]), towns)) in towns:
-                town, words = first, words[n:]
+            first = place(" ".join(words[:n]))
+            if first in towns or town and abs(len(first) - len(town)) <= 2 and osa(first, town, 2) <= 2:
+                town, words = first if first in towns else town, words[n:]
                 break
-        else:
-            town = town_of(city, towns) if city else ""
     return Name(kind or "FIRM", "", "", "", "", "".join(words), "", town)
 
 

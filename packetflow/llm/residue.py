@@ -61,7 +61,8 @@ _ABOUT = re.compile(r"\b(?:mail merge|marker|letter temp\w+|do not delete)\b", r
 _CUT = re.compile(r"(?<=[.!?])\s+|\n+")
 _DATE = re.compile(r"\b\d{1,4}[/.-]\d{1,2}[/.-]\d{1,4}\b")
 _ADDRESS = re.compile(r"\b\d+\s+(?:[A-Z][\w']*\s+){1,3}(?:Street|St|Avenue|Ave|Road|Rd|Lane|Ln|Drive|Dr|Court|Ct|Place|Pl|Boulevard|Blvd|Highway|Hwy|Terrace|Ter|Turnpike|Tpke|Way)\b\.?", re.I)
-_CODE = re.compile(r"\b(?=\w*\d)[\w-]+\b")
+#: A code has two digits or is a number; a word with one digit in it is a misread word.
+_CODE = re.compile(r"\b(?=\w*\d\w*\d)[\w-]+\b|\b\d+\b")
 
 
 def _rules(phrases: tuple[str, ...]) -> re.Pattern:

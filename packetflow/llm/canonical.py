@@ -47,6 +47,8 @@ CONTEXT = {
     "vehicle_make": ("USA", "INC", "DIV", "IMPORT", "MAKE", "MOTORS", "TRUCK", "NEW"),
     "plate_type": ("REQUEST", "REQ", "PLS", "CUSTOMER", "WANTS", "SET", "RUSH", "MAIL", "OUT", "PASSENGER", "X1"),
 }
+#: Words beside several entries of one list are a vocabulary; more than this many would be no vocabulary any more.
+CONTEXT_MOST = 100_000
 #: Words that stand for no value; they are never taken for a misspelling.
 NO_VALUE = frozenset({"UNK", "UNKNOWN", "TBD", "NA", "NOT", "SEE", "SAME", "YES", "PENDING", "CARD", "CLASS", "CUSTOM", "WRAP", "ASK", "SHOWN", "LISTED", "GLASSES", "SEDAN", "SPORT", "TRAILER"})
 #: Endings that leave the meaning of a word as it is.
@@ -236,7 +238,10 @@ def map_values(extractions: DataFrame, canonical: DataFrame, fields: tuple[str,
     values = cut_lineage(distinct_values(extractions, fields))
     context: dict[str, set[str]] = {f: set(CONTEXT.get(f, ())) for f in fields}
     known = {(f, w) for f, _, name in names for w in name}
-    for r in context_words(values, names).limit(100_000).collect():  # words beside three entries of a short list: a vocabulary, not data
+    beside = context_words(values, names).limit(CONTEXT_MOST + 1).collect()
+    if len(beside) > CONTEXT_MOST:
+        raise ValueError(f"more than {CONTEXT_MOST} words go with several entries")
+    for r in beside:
         if (r.field_name, r.token) not in known:
             context[r.field_name].add(r.token)
     vocabulary = _vocabulary(names, context)

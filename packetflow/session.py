@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import os
+import re
 import tempfile
 
 from pyspark.sql import DataFrame, SparkSession
@@ -29,6 +30,8 @@ def ensure_checkpoint_dir(spark: SparkSession) -> None:
         return
     folder = context.getConf().get("spark.checkpoint.dir", None)
     if folder is None:
+        if not re.match(r"local($|\[)", context.master):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
         folder = tempfile.mkdtemp(prefix="packetflow-checkpoint-", dir=os.environ.get("TMPDIR"))
     context.setCheckpointDir(folder)
 

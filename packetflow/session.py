@@ -2,9 +2,13 @@
 
 from __future__ import annotations
 
+import atexit
 import os
+import pathlib
 import re
+import shutil
 import tempfile
+import zipfile
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -47,3 +51,19 @@ def spread(df: DataFrame, *columns: str) -> DataFrame:
     spark = df.sparkSession
     n = max(int(spark.conf.get("spark.sql.shuffle.partitions")), 3 * spark.sparkContext.defaultParallelism)
     return df.repartition(n, *columns)
+
+
+def ship_package(spark: SparkSession) -> None:
+    """Give the executors this package, once per application, where their Python path may not have it."""
+    context = spark.sparkContext
+    if getattr(context, "_packetflow_shipped", False):
+        return
+    root = pathlib.Path(__file__).resolve().parent
+    folder = tempfile.mkdtemp(prefix="packetflow-package-")  # on the driver, which serves the file for as long as it runs
+    atexit.register(shutil.rmtree, folder, True)
+    archive = os.path.join(folder, "packetflow.zip")
+    with zipfile.ZipFile(archive, "w") as z:
+        for path in sorted(root.rglob("*.py")):
+            z.write(path, f"packetflow/{path.relative_to(root)}")
+    context.addPyFile(archive)
+    context._packetflow_shipped = True

@@ -5,7 +5,6 @@ from __future__ import annotations
 from pyspark.sql import Column, functions as F
 
 _SPACES = " \t\n\r\f\v\u00a0" + "".join(map(chr, range(0x2000, 0x200C))) + "\u202f\u3000"
-_SPACE = r"[\s\x{A0}\x{2000}-\x{200B}\x{202F}\x{3000}]"
 
 
 def strip(c: Column | str) -> Column:
@@ -22,4 +21,5 @@ def blank_to_null(c: Column | str) -> Column:
 def squeeze_upper(c: Column | str) -> Column:
     """Upper case, stripped, runs of white space made one space."""
     c = F.col(c) if isinstance(c, str) else c
-    return F.upper(strip(F.when(c.rlike(f"{_SPACE}{_SPACE}|[^ \\S]|[^\\x00-\\x7F]"), F.regexp_replace(c, f"{_SPACE}+", " ")).otherwise(c)))
+    plain = F.translate(c, _SPACES, " " * len(_SPACES))
+    return F.upper(F.trim(F.when(plain.contains("  "), F.regexp_replace(plain, " +", " ")).otherwise(plain)))

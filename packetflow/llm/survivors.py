@@ -28,7 +28,7 @@ NAME_FIELDS = ("owner_full_name",)
 LEAST_CONFIDENCE = 0.3
 #: Names read with less are taken only where no other reading is left.
 WELL_READ = 0.6
-ROUNDS, SETTLED = 6, 0.01
+ROUNDS, SETTLED = 10, 0.02
 #: Texts that stand for a missing value.
 PLACEHOLDERS = ("", "-", "--", ".", "?", "NA", "N/A", "NONE", "NULL", "NIL", "TBD", "TBA", "UNKNOWN", "UNK", "SEE ATTACHED", "SEEATTACHED", "SEE FILE", "PENDING", "XXX", "NOT LISTED", "SAME")
 #: What is written around a name without being part of it.

@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from packetflow.functions.refdata import DEFAULT_MODE_TYPES, DOCUMENT_TYPES, EMBEDDED_CARD_TYPES, SKIP_APPEND, SKIP_EXTRACT
 from packetflow.functions.scalars import backoff_seconds
-from packetflow.operators import chunks, classification as C, runs
+from packetflow.operators import assembly, chunks, classification as C, runs
 from packetflow.sources.tables import table
 
 
@@ -97,7 +97,20 @@ def q_upload_chunks(spark: SparkSession, folder: str) -> DataFrame:
     return chunks.greedy_chunks(table(spark, folder, "documents"), "packet_id", "doc_id", "n_chars", 2_000)
 
 
-QUERIES = {f.__name__: f for f in (q_normalized, q_documents, q_page_coverage, q_contiguity, q_validity, q_recovery_targets, q_recovered_pages, q_file_names, q_unique_file_names, q_excluded, q_processable, q_appendable, q_pending_packets, q_run_summary, q_shared_stems, q_usage_totals, q_backoff, q_upload_chunks)}
+def q_split_plan(spark: SparkSession, folder: str) -> DataFrame:
+    found = assembly.split_plan(table(spark, folder, "packets"))
+    return found.select("packet_id", "doc_ord", "status", _joined("pages").alias("pages"))
+
+
+def q_packet_parts(spark: SparkSession, folder: str) -> DataFrame:
+    return assembly.packet_parts(table(spark, folder, "packets"), ("cover", "application", "registration", "ownership"), SKIP_APPEND)
+
+
+def q_unextracted(spark: SparkSession, folder: str) -> DataFrame:
+    return assembly.unextracted(table(spark, folder, "packets"), table(spark, folder, "extractions"), SKIP_EXTRACT).select("packet_id", "doc_ord", "doc_type")
+
+
+QUERIES = {f.__name__: f for f in (q_split_plan, q_packet_parts, q_unextracted, q_normalized, q_documents, q_page_coverage, q_contiguity, q_validity, q_recovery_targets, q_recovered_pages, q_file_names, q_unique_file_names, q_excluded, q_processable, q_appendable, q_pending_packets, q_run_summary, q_shared_stems, q_usage_totals, q_backoff, q_upload_chunks)}
 
 _BLANK = "regexp_matches(coalesce(d.name, ''), '\\b(blank|separator|seperator|empty page|empty|divider|unused|no content|intentionally blank)\\b', 'i')"
 _DOCS = """
@@ -150,6 +163,13 @@ SELECT packet_id, coalesce(n_documents, 0) AS n_documents, coalesce(g.empty_page
 ), best AS (SELECT *, row_number() OVER (PARTITION BY packet_id, page_no ORDER BY rule, nearest, pos) AS k FROM ranked)
 SELECT packet_id, page_no, CAST(b.pos AS INTEGER) AS doc_ord FROM asked LEFT JOIN (SELECT * FROM best WHERE k = 1) b USING (packet_id, page_no)""",
     "q_file_names": _DOCS + r""" SELECT packet_id, doc_ord, coalesce(nullif(substr(regexp_replace(trim(regexp_replace(replace(strip_accents(doc_name), chr(160), ' '), '[^A-Za-z0-9_\s\-().]', '', 'g'), E' \t\n\r'), '\s+', '_', 'g'), 1, 120), ''), 'document') AS file_name FROM docs""",
+    "q_split_plan": _DOCS
+    + """, judged AS (
+  SELECT d.packet_id, d.doc_ord, coalesce(len(list_filter(d.pages, lambda p: p < 1 OR p > p0.total_pages)) > 0 OR p0.total_pages IS NULL AND len(d.pages) > 0, false) AS outside,
+    list_sort(list_distinct(list_filter(d.pages, lambda p: NOT list_contains(coalesce(p0.empty_pages, []), p)))) AS kept
+  FROM docs d JOIN packets p0 USING (packet_id))
+SELECT packet_id, doc_ord, CASE WHEN outside THEN 'failed' WHEN len(kept) = 0 THEN 'skipped' ELSE 'ok' END AS status, CASE WHEN outside OR len(kept) = 0 THEN '' ELSE array_to_string(kept, ',') END AS pages FROM judged""",
+    "q_unextracted": _DOCS + f" SELECT packet_id, doc_ord, doc_type FROM docs d WHERE (doc_type IS NULL OR doc_type NOT IN ({_list(SKIP_EXTRACT)})) AND NOT EXISTS (SELECT 1 FROM extractions x WHERE x.packet_id = d.packet_id AND x.document_type = d.doc_type)",
     "q_excluded": _DOCS + f" SELECT packet_id, doc_ord, doc_type FROM docs WHERE doc_type IN ({_list(SKIP_EXTRACT)})",
     "q_processable": _DOCS + f" SELECT packet_id, doc_ord, doc_type FROM docs WHERE doc_type IS NULL OR doc_type NOT IN ({_list(SKIP_EXTRACT)})",
     "q_appendable": _DOCS + f" SELECT packet_id, doc_ord, doc_type FROM docs WHERE doc_type IS NULL OR doc_type NOT IN ({_list(SKIP_APPEND)})",

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from packetflow.operators import flatten, profile
+from packetflow.operators import assembly, flatten, profile
 from packetflow.sources.tables import table
 
 
@@ -32,7 +32,16 @@ def p2_stability(spark: SparkSession, folder: str) -> DataFrame:
     return profile.stability_index(profile.value_counts(table(spark, folder, "extractions"))).withColumn("psi", F.round("psi", 6))
 
 
-QUERIES = {f.__name__: f for f in (p1_found, p1_nodes, p2_found, p2_profile, p2_stability)}
+def q_record_counts(spark: SparkSession, folder: str) -> DataFrame:
+    return assembly.record_counts(flatten.flatten_records(table(spark, folder, "consolidated_records")))
+
+
+def q_record_values(spark: SparkSession, folder: str) -> DataFrame:
+    paths = {"vin": ("vehicle_vin",), "owner": ("owner.full_name", "owner.name", "owner[0].full_name"), "city": ("owner.address.city", "lessee.address.city"), "lienholder": ("lienholder.name",)}
+    return assembly.record_values(flatten.flatten_records(table(spark, folder, "consolidated_records")), paths)
+
+
+QUERIES = {f.__name__: f for f in (q_record_counts, q_record_values, p1_found, p1_nodes, p2_found, p2_profile, p2_stability)}
 
 _JUDGED = r"""
 WITH long AS (

@@ -224,6 +224,12 @@ def _given(word: str, pool: frozenset[str]) -> str:
     return near[0][1] if near and (len(near) == 1 or near[0][0] < near[1][0]) else word
 
 
+@lru_cache(maxsize=50_000)
+def _unclear(word: str, pool: frozenset[str]) -> bool:
+    """Not a known given name, but a misspelling of more than one."""
+    return len(word) > 2 and _given(word, pool) not in pool and any(abs(len(g) - len(word)) <= 1 and osa(word, g, 1) <= 1 for g in pool)
+
+
 def given_candidates(text: str) -> str:
     """The word that stands where a given name stands, for counting."""
     s = _ADDED.sub(" ", upper(text)).replace("'", "")
@@ -251,7 +257,7 @@ def person_name(text: str, pool: frozenset[str]) -> Name | None:
         if len(found) < 2:
             return Name("", "", "", "", suffix, "".join(found), "", "") if found else None
         first, second = _given(found[0], pool), _given(found[1], pool)
-        if first not in pool and len(found[0]) > 1 and second in pool:
+        if first not in pool and len(found[0]) > 1 and not _unclear(found[0], pool) and second in pool:
             cut = 1
             last, given = found[:cut], found[cut:]
         elif first not in pool and len(found[0]) > 1 and found[0] in PARTICLES and len(found) > 2 and _given(found[2], pool) in pool:
@@ -263,5 +269,5 @@ def person_name(text: str, pool: frozenset[str]) -> Name | None:
             last, given = found[cut:], found[:cut]
     if not last or not given:
         return None
-    name = _given(given[0], pool) if len(given[0]) > 1 else ""
+    name = _given(given[0], pool) if len(given[0]) > 1 and not _unclear(given[0], pool) else ""
     return Name("", name, given[0][0] if not name else name[0], given[1][0] if len(given) > 1 else "", suffix, "".join(last), "", "")

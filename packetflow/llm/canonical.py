@@ -62,7 +62,7 @@ def tokens(value: str) -> list[str]:
 def splittings(words: list[str]) -> list[list[str]]:
     """The words, and with one gap between neighbours moved by a letter or closed."""
     found = [words]
-    if NO_VALUE.intersection(words):
+    if NO_VALUE.intersection(words) or any(re.search("[0-9]{2}", w) for w in words):  # codes are what they are
         return found
     for i in range(len(words) - 1):
         a, b, head, tail = words[i], words[i + 1], words[:i], words[i + 2 :]
@@ -95,7 +95,7 @@ def _forms(word: str) -> dict[str, float]:
 def allowed(word: str, sure: float) -> int:
     """Edits that still mean the word: fewer for short words and short forms."""
     if sure < 1:
-        return 0 if len(word) < 3 else 1 if len(word) < 6 else EDITS
+        return 0 if len(word) < 3 else 1 if len(word) < 8 else EDITS
     return 0 if len(word) < 3 else 1 if len(word) == 3 else EDITS if len(word) < 9 else EDITS + 1
 
 

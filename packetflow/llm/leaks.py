@@ -7,7 +7,9 @@ same order, are its coverage; from COVERAGE on the document leaks the item. Beca
 passages whose sentences were put in another order are found as well.
 
 Words of standard sentences are no one's own wording: windows that many passages share, or that more than a set share of
-all documents carries (counted over the whole corpus first), are left out of coverage and of the words to be covered.
+all texts carries (counted over the whole corpus first), are left out of coverage and of the words to be covered. Texts
+count once however many documents repeat them, and a text that may carry a passage's share of own words is no evidence
+against that passage's windows, so neither copies nor frequent leaks make a passage standard.
 
 The passages are a stated query set; they are broadcast in blocks of bounded size, and documents never leave their
 partition: no text is shuffled and nothing is collected but the counts of passage windows.
@@ -27,9 +29,10 @@ import pandas as pd
 from pyspark.sql import DataFrame, functions as F
 
 from packetflow.llm.words import Hasher, words
+from packetflow.session import cut_lineage
 
 SEED, COVERAGE = 4, 0.25
-#: A window is standard when at least this many passages or this share of the documents (and this many) carry it.
+#: A window is standard when at least this many passages or this share of the texts (and this many) carry it.
 STANDARD_PASSAGES, STANDARD_SHARE, STANDARD_DOCUMENTS = 4, 0.005, 8
 #: Words between two tiles that count as altered, not as missing.
 BRIDGE_PASSAGE, BRIDGE_TEXT = 2, 4
@@ -113,36 +116,71 @@ def coverage(found: list[tuple[int, int, int]], own: np.ndarray) -> float:
     return float((covered & own).sum()) / total
 
 
-def _seed_counts(documents: DataFrame, items) -> DataFrame:
-    """(key, n) of seed windows over all documents; each batch adds up before it hands on."""
+def _may_leak(starts: set[int], own: np.ndarray, threshold: float) -> bool:
+    """Whether seeds at these starts of a passage can come to the threshold of its own words."""
+    reach = np.zeros(len(own), bool)
+    for p in starts:
+        reach[p : p + SEED] = True
+    # Bridges add at most BRIDGE_PASSAGE words to each SEED words of tiles.
+    return (reach & own).sum() * (1 + BRIDGE_PASSAGE / SEED) >= threshold * own.sum()
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        hasher = Hasher()
-        block = Passages(items.value, hasher)
-        counts = np.zeros(len(block.keys), np.int64)
-        for b in batches:
-            for text in b.text:
-                _, which = block.hits(hasher.windows(hasher.codes(words(text)), SEED))
-                counts[np.unique(which)] += 1
-        seen = np.flatnonzero(counts)
-        yield pd.DataFrame({"key": block.keys[seen].view(np.int64), "n": counts[seen]})
 
-    return documents.select("text").mapInPandas(run, "key bigint, n bigint").groupBy("key").agg(F.sum("n").alias("n"))
+def shared_windows(passages: list[str]) -> tuple[np.ndarray, np.ndarray]:
+    """Windows of so many different passages that they are standard, and those of several."""
+    hasher = Hasher()
+    different = {i: np.unique(hasher.windows(hasher.codes(words(p)), SEED)) for i, p in enumerate(passages)}
+    keys, n = np.unique(np.concatenate([np.empty(0, np.uint64), *different.values()]), return_counts=True)
+    return keys[n >= STANDARD_PASSAGES], keys[(n > 1) & (n < STANDARD_PASSAGES)]
 
 
-def _block_leaks(documents: DataFrame, block: list[tuple[int, str]], n_documents: int, threshold: float) -> DataFrame:
-    context = documents.sparkSession.sparkContext
-    items = context.broadcast(block)
-    least = max(STANDARD_DOCUMENTS, STANDARD_SHARE * n_documents)
-    frequent = [r.key for r in _seed_counts(documents, items).filter(F.col("n") >= least).collect()]  # windows of the passages
-    passages = Passages(block, Hasher())
-    held: dict[int, set[int]] = defaultdict(set)
-    for n, w in enumerate(passages.windows):
-        for key in w:
-            held[int(key)].add(n)
-    shared = [k for k, s in held.items() if len(s) >= STANDARD_PASSAGES]
-    standard = context.broadcast(np.concatenate([np.array(frequent, np.int64).view(np.uint64), np.array(shared, np.uint64)]))
+def _sightings(documents: DataFrame, items, shared, threshold: float) -> DataFrame:
+    """(text, key, stray): windows of a block's passages in each text, and whether none of these passages may leak there.
+
+    What several passages share does not make a leak here, unless it is most of a passage. Each text has a row without key.
+    """
 
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        import xxhash
+
+        hasher = Hasher()
+        index = Passages(items.value, hasher)
+        standard, several = shared.value
+        usual, signed = np.isin(index.keys, standard), index.keys.view(np.int64).tolist()
+        own = [s if 2 * s.sum() >= o.sum() else o for o, s in zip(index.own(standard), index.own(np.concatenate([standard, several])))]
+        for b in batches:
+            out = []
+            for text in b.text:
+                codes = hasher.codes(words(text))
+                name = xxhash.xxh64_intdigest(codes.tobytes()) - 2**63
+                out.append((name, None, True))
+                _, which = index.hits(hasher.windows(codes, SEED))
+                at = {k: index.where[index.first[k] : index.last[k]] for k in np.unique(which[~usual[which]]).tolist()}
+                starts: dict[int, set[int]] = defaultdict(set)
+                for places in at.values():
+                    for n, p in places:
+                        starts[n].add(p)
+                leaked = {n for n, found in starts.items() if _may_leak(found, own[n], threshold)}
+                out += [(name, signed[k], not any(n in leaked for n, _ in places)) for k, places in at.items()]
+            yield pd.DataFrame({"text": [x[0] for x in out], "key": pd.array([x[1] for x in out], "Int64"), "stray": [x[2] for x in out]})
+
+    return documents.select("text").filter("text <> ''").mapInPandas(run, "text bigint, key bigint, stray boolean")
+
+
+def frequent_windows(documents: DataFrame, blocks: list, shared, threshold: float) -> np.ndarray:
+    """Windows that more than a set share of all different texts carries without leaking a passage."""
+    seen = None
+    for items in blocks:
+        part = _sightings(documents, items, shared, threshold)
+        seen = part if seen is None else seen.unionByName(part)
+    texts = seen.groupBy("text", "key").agg(F.bool_and("stray").alias("stray")).filter("stray")
+    counts = cut_lineage(texts.groupBy("key").agg(F.count("*").alias("n")))
+    n_texts = next((r.n for r in counts.filter("key is null").collect()), 0)
+    least = max(STANDARD_DOCUMENTS, STANDARD_SHARE * n_texts)
+    found = [r.key for r in counts.filter((F.col("n") >= least) & F.col("key").isNotNull()).collect()]  # windows of the passages
+    return np.array(found, np.int64).view(np.uint64)
+
+
+def _block_leaks(documents: DataFrame, items, standard, threshold: float) -> DataFrame:
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         hasher = Hasher()
         index = Passages(items.value, hasher)
@@ -161,11 +199,7 @@ def _block_leaks(documents: DataFrame, block: list[tuple[int, str]], n_documents
                     for n, p in index.where[index.first[k] : index.last[k]]:
                         seeds[n].append((p, t))
                 for n, found in seeds.items():
-                    reach = np.zeros(len(own[n]), bool)
-                    for p in {p for p, _ in found}:
-                        reach[p : p + SEED] = True
-                    # Bridges add at most BRIDGE_PASSAGE words to each SEED words of tiles.
-                    if (reach & own[n]).sum() * (1 + BRIDGE_PASSAGE / SEED) < threshold * own[n].sum():
+                    if not _may_leak({p for p, _ in found}, own[n], threshold):
                         continue
                     share = coverage(tiles(index.codes[n], codes, found), own[n])
                     if share >= threshold:
@@ -178,15 +212,16 @@ def _block_leaks(documents: DataFrame, block: list[tuple[int, str]], n_documents
 def leaks(documents: DataFrame, eval_items: DataFrame, threshold: float = COVERAGE) -> DataFrame:
     """(doc_id, item_id, coverage): every document that carries a passage, in whole or in part."""
     rows = eval_items.filter("item_id is not null and passage <> ''").select("item_id", "passage").orderBy("item_id").toLocalIterator()
-    n_documents, found, block = documents.count(), None, []
-    blocks = []
-    for r in rows:
-        block.append((r.item_id, r.passage))
-        if len(block) == BLOCK_ITEMS:
-            blocks.append(block)
-            block = []
-    for block in [*blocks, *([block] if block else [])]:
-        part = _block_leaks(documents, block, n_documents, threshold)
+    passages = [(r.item_id, r.passage) for r in rows]
+    context = documents.sparkSession.sparkContext
+    blocks = [context.broadcast(passages[i : i + BLOCK_ITEMS]) for i in range(0, len(passages), BLOCK_ITEMS)]
+    found = None
+    if blocks:
+        standard, several = shared_windows([p for _, p in passages])
+        frequent = frequent_windows(documents, blocks, context.broadcast((standard, several)), threshold)
+        usual = context.broadcast(np.concatenate([standard, frequent]))
+    for items in blocks:
+        part = _block_leaks(documents, items, usual, threshold)
         found = part if found is None else found.unionByName(part)
     if found is None:
         return documents.sparkSession.createDataFrame([], "doc_id bigint, item_id int, coverage double")

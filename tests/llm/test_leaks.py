@@ -75,3 +75,24 @@ def test_windows_and_folding():
     a, b = h.codes(words("The Quick brown fox jumps")), h.codes(words("the qu1ck bröwn f0x jumps"))
     assert (a == b).all() and len(h.windows(a, 4)) == 2 and len(h.windows(a[:3], 4)) == 0
     assert h.windows(a, 4)[1] == h.windows(a[1:], 4)[0]
+
+
+def corpus(rng, n):
+    return [(1000 + i, " ".join(sentence(rng) for _ in range(3))) for i in range(n)]
+
+
+def test_copies_and_frequent_leaks_are_no_standard_sentences(spark):
+    rng = random.Random(11)
+    passage = " ".join(sentence(rng) for _ in range(5))
+    copies = [(i, "Fwd: " + passage) for i in range(40)]
+    frequent = [(100 + i, f"{sentence(rng)} {passage} {sentence(rng)}") for i in range(30)]
+    assert found(spark, copies + corpus(rng, 60), [(1, passage)]) == [(i, 1) for i, _ in copies]
+    assert found(spark, frequent + corpus(rng, 60), [(1, passage)]) == [(i, 1) for i, _ in frequent]
+
+
+def test_short_quotation_of_many_texts_is_standard(spark):
+    rng = random.Random(12)
+    own = [sentence(rng) for _ in range(8)]
+    quoting = [(i, f"{sentence(rng)} {own[0]} {sentence(rng)}") for i in range(30)]
+    d = spark.createDataFrame([(i, t, "x", "y") for i, t in [*quoting, (99, " ".join(own[:3]))]], DOCS)
+    assert [(r.doc_id, round(r.coverage, 2)) for r in L.leaks(d, spark.createDataFrame([(1, " ".join(own), "z")], ITEMS)).collect()] == [(99, round(2 / 7, 2))]

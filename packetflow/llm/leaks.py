@@ -126,9 +126,9 @@ def _may_leak(starts: set[int], own: np.ndarray, threshold: float) -> bool:
 
 
 def shared_windows(passages: list[str]) -> tuple[np.ndarray, np.ndarray]:
-    """Windows of so many different passages that they are standard, and those of several."""
+    """Windows of so many different passages that they are standard, and those of several; passages of the same words are one."""
     hasher = Hasher()
-    different = {i: np.unique(hasher.windows(hasher.codes(words(p)), SEED)) for i, p in enumerate(passages)}
+    different = {c.tobytes(): np.unique(hasher.windows(c, SEED)) for c in (hasher.codes(words(p)) for p in passages)}
     keys, n = np.unique(np.concatenate([np.empty(0, np.uint64), *different.values()]), return_counts=True)
     return keys[n >= STANDARD_PASSAGES], keys[(n > 1) & (n < STANDARD_PASSAGES)]
 
@@ -211,7 +211,7 @@ def _block_leaks(documents: DataFrame, items, standard, threshold: float) -> Dat
 
 def leaks(documents: DataFrame, eval_items: DataFrame, threshold: float = COVERAGE) -> DataFrame:
     """(doc_id, item_id, coverage): every document that carries a passage, in whole or in part."""
-    rows = eval_items.filter("item_id is not null and passage <> ''").select("item_id", "passage").orderBy("item_id").toLocalIterator()
+    rows = eval_items.filter("item_id is not null and passage <> ''").select("item_id", "passage").distinct().orderBy("item_id", "passage").toLocalIterator()
     passages = [(r.item_id, r.passage) for r in rows]
     context = documents.sparkSession.sparkContext
     blocks = [context.broadcast(passages[i : i + BLOCK_ITEMS]) for i in range(0, len(passages), BLOCK_ITEMS)]

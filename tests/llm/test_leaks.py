@@ -96,3 +96,20 @@ def test_short_quotation_of_many_texts_is_standard(spark):
     quoting = [(i, f"{sentence(rng)} {own[0]} {sentence(rng)}") for i in range(30)]
     d = spark.createDataFrame([(i, t, "x", "y") for i, t in [*quoting, (99, " ".join(own[:3]))]], DOCS)
     assert [(r.doc_id, round(r.coverage, 2)) for r in L.leaks(d, spark.createDataFrame([(1, " ".join(own), "z")], ITEMS)).collect()] == [(99, round(2 / 7, 2))]
+
+
+def test_repeated_items_are_one_passage(spark):
+    rng = random.Random(13)
+    a, b = (" ".join(sentence(rng) for _ in range(5)) for _ in range(2))
+    docs = [(1, f"{sentence(rng)} {a}"), (2, b)]
+    assert found(spark, docs, [(1, a)] * 4 + [(i, b) for i in (2, 3, 4, 5)]) == [(1, 1), (2, 2), (2, 3), (2, 4), (2, 5)]
+
+
+def test_blocks_change_nothing(spark, monkeypatch):
+    rng = random.Random(14)
+    std = " ".join(sentence(rng) for _ in range(2))
+    items = [(i, " ".join([std, *(sentence(rng) for _ in range(4))])) for i in range(1, 5)]
+    docs = [(1, std), (2, items[2][1]), (3, sentence(rng))]
+    whole = found(spark, docs, items)
+    monkeypatch.setattr(L, "BLOCK_ITEMS", 2)
+    assert found(spark, docs, items) == whole == [(2, 3)]

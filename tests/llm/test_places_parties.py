@@ -119,3 +119,18 @@ def test_parties(spark):
 
 def test_no_parties(spark):
     assert N.found_parties(extractions(spark, (1, 1, {})).limit(0)).count() == 0 and N.found_parties(extractions(spark, (1, None, {"lessee_name": "Ann Lee"}))).count() == 0
+
+
+def test_close_texts_with_swaps_across_cells(spark):
+    rng = random.Random(6)
+    base = list({"".join(rng.choice("abcdefgh") for _ in range(rng.randrange(4, 10))) for _ in range(150)})
+    swapped = []
+    for t in base:
+        i = rng.randrange(len(t) - 1)
+        s = t[:i] + t[i + 1] + t[i] + t[i + 2 :]
+        j = (i + 2) % (len(s) - 1)
+        swapped += [s, s[:j] + s[j + 1] + s[j] + s[j + 2 :], s + "z"]
+    texts = {t: rng.randrange(1, 9) for t in [*base, *swapped]}
+    found = {(r.text, r.other) for r in N.close_texts(spark.createDataFrame([("x", t, n) for t, n in texts.items()], "block string, text string, n bigint"), cell=12).collect()}
+    r = lambda a, b: min(N._radius(a), N._radius(b))
+    assert found == {(a, b) for a in texts for b in texts if a != b and (texts[b], a) > (texts[a], b) and osa(a, b, r(a, b)) <= r(a, b)}

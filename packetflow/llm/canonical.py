@@ -155,7 +155,11 @@ def repaired_tokens(tokens_df: DataFrame, vocabulary: dict[str, dict[str, list[t
     """(field_name, token, word, sim): distinct tokens joined to vocabulary words by edit distance through deletion keys."""
     spark = tokens_df.sparkSession
     longest = {f: max(map(len, forms), default=0) + EDITS + 1 for f, forms in vocabulary.items()}
-    rows = [(f, key, form, word, sure) for f, forms in vocabulary.items() for form, ws in forms.items() for word, sure in ws for key in deletion_keys(form, EDITS if allowed(form, sure) > 1 else allowed(form, sure))]
+    rows = [(f, key, form, word, sure) for f, forms in vocabulary.items() for form, ws in forms.items() for word, sure in ws for key in deletion_keys(form, allowed(form, sure))]
+    widest = {f: max((allowed(form, sure) for form, ws in forms.items() for _, sure in ws), default=0) for f, forms in vocabulary.items()}
+    sure_words = {f: {form for form, ws in forms.items() if any(sure == 1 for _, sure in ws)} for f, forms in vocabulary.items()}
+    # A joined name and the words in it: who leaves out a word means what is left, not the name with a few edits.
+    inside = {(f, w): found for f, ws in sure_words.items() for w in ws if allowed(w, 1.0) > EDITS and (found := [p for i in range(len(w)) for j in range(i + 3, len(w) + 1) if (p := w[i:j]) != w and p in ws])}
     vocab = spark.createDataFrame(rows, "field_name string, key string, form string, word string, sure double") if rows else spark.createDataFrame([], "field_name string, key string, form string, word string, sure double")
 
     def keys(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -164,7 +168,8 @@ def repaired_tokens(tokens_df: DataFrame, vocabulary: dict[str, dict[str, list[t
             for f, t in zip(b.field_name, b.token):
                 if len(t) <= longest.get(f, 0) and t not in NO_VALUE:
                     shapes = {t, _digits_read_as_letters(t), squeeze_runs(t)}
-                    out += [(f, t, k) for k in {k for s in shapes for k in deletion_keys(s, EDITS)}]
+                    # Words that allow more than EDITS have nine letters or more, so what is within EDITS + 1 of them has six.
+                    out += [(f, t, k) for k in {k for s in shapes for k in deletion_keys(s, widest[f] if len(s) >= 6 else min(EDITS, widest[f]))}]
             yield pd.DataFrame(out, columns=["field_name", "token", "key"])
 
     def verify(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -176,6 +181,8 @@ def repaired_tokens(tokens_df: DataFrame, vocabulary: dict[str, dict[str, list[t
                 doubled = len(form) > 1 and squeeze_runs(t) == squeeze_runs(form)
                 if d > most and doubled:
                     d = 1
+                if d > EDITS and any(osa(t, p, EDITS) <= EDITS for p in inside.get((f, form), ())):
+                    continue
                 if d <= most or doubled:
                     out.append((f, t, word, sure * (1 - d / (len(form) + 2))))
             yield pd.DataFrame(out, columns=["field_name", "token", "word", "sim"])

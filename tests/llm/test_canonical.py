@@ -56,3 +56,13 @@ def test_distance_and_keys(a, b, most):
     assert osa(a, b, most) == min(d, most + 1)
     if d <= 2:
         assert deletion_keys(a, 2) & deletion_keys(b, 2)
+
+
+def test_three_edits_of_long_words(spark):
+    rows = [(1, "plate_type", "COMMERCIAL", [], 0), (2, "plate_type", "DUPLICATE", [], 0), (3, "plate_type", "DEALER", [], 0)]
+    tokens = spark.createDataFrame([("plate_type", t) for t in ("CUMMARCEAL", "DAPLOCUTE", "CUMMARCEOL", "DOALOR")], "field_name string, token string")
+    vocabulary = C._vocabulary(C.reference_names(spark.createDataFrame(rows, REF)), {})
+    found = {(r.token, r.word) for r in C.repaired_tokens(tokens, vocabulary).collect()}
+    assert found == {("CUMMARCEAL", "COMMERCIAL"), ("DAPLOCUTE", "DUPLICATE"), ("DOALOR", "DEALER")}
+    field = C.map_values(spark.createDataFrame([(1, None, None, None, ("cummarceal", 0.5), "", "")], SCHEMA), spark.createDataFrame(rows, REF))
+    assert [r.canonical_id for r in field.collect()] == [1]

@@ -62,17 +62,18 @@ def unpivot(extractions: DataFrame, keys: list[str], fields: tuple[str, ...] = F
 
 
 def judged(long: DataFrame) -> DataFrame:
-    """With number (odometer, price) and well_formed (null when missing)."""
+    """With number (odometer, price), date (birth) and well_formed (null when missing)."""
     field, value = F.col("field_name"), F.col("value")
     number = F.when(field == "odometer_reading", odometer_number(value)).when(field == "purchase_price", price_number(value))
     vin = F.when(field == "vehicle_vin", F.regexp_replace(F.upper(value), "[- ]", ""))
-    ok = F.when(field == "vehicle_vin", vin_ok(F.col("vin"), F.col("vin_digits"))).when(field == "driver_dob", birth_date(value).isNotNull()).otherwise(F.col("number").isNotNull())
-    long = long.withColumns({"number": number, "vin": vin}).withColumn("vin_digits", F.translate("vin", VIN_LETTERS, VIN_VALUES))
+    ok = F.when(field == "vehicle_vin", vin_ok(F.col("vin"), F.col("vin_digits"))).when(field == "driver_dob", F.col("date").isNotNull()).otherwise(F.col("number").isNotNull())
+    date = F.when(field == "driver_dob", birth_date(value))
+    long = long.withColumns({"number": number, "date": date, "vin": vin}).withColumn("vin_digits", F.translate("vin", VIN_LETTERS, VIN_VALUES))
     return long.withColumn("well_formed", F.when(value.isNotNull(), F.coalesce(ok, F.lit(False)))).drop("vin", "vin_digits")
 
 
 def value_counts(extractions: DataFrame) -> DataFrame:
-    """(feed_id, load_no, load_id, field_name, value, n, number, well_formed): every distinct value of a load once."""
+    """(feed_id, load_no, load_id, field_name, value, n, number, date, well_formed): every distinct value of a load once."""
     keys = ["feed_id", "load_no"]
     long = unpivot(extractions, [*keys, "load_id"])
     return judged(long.groupBy(*keys, "field_name", "value").agg(F.count("*").alias("n"), F.max("load_id").alias("load_id")))
@@ -121,22 +122,36 @@ def compared(profile: DataFrame) -> DataFrame:
     return lagged.withColumns({k: F.coalesce(v, F.lit(False)) for k, v in flags.items()})
 
 
+def _classes() -> Column:
+    """array<struct<kind, class>>: the classes of a value by value, shape and state.
+
+    Numbers fall into fixed bins of half a doubling, birth dates into five years; other values and malformed ones are classes of their own.
+    """
+    value, number, date = F.col("value"), F.col("number"), F.col("date")
+    state = F.when(value.isNull(), "missing").when(F.col("well_formed"), "well-formed").otherwise("malformed")
+    number_bin = F.concat(F.lit("number "), F.floor(2 * F.log2(number + 1)).cast("string"))
+    date_bin = F.concat(F.lit("date "), F.floor(F.year(date) / 5).cast("string"))
+    exact = F.when(value.isNull(), "missing").when(number.isNotNull(), number_bin).when(date.isNotNull(), date_bin).otherwise(F.concat(F.lit("value "), value))
+    shape = F.coalesce(F.regexp_replace(F.regexp_replace(F.upper(value), "[A-Z]+", "A"), "[0-9]+", "9"), F.lit("missing"))
+    return F.array(*[F.struct(F.lit(k).alias("kind"), c.alias("class")) for k, c in (("psi", exact), ("psi_shape", shape), ("psi_state", state))])
+
+
 def stability_index(counts: DataFrame) -> DataFrame:
-    """(field_name, feed_id, load_no, psi): population stability index of the shape of values against the load before.
+    """(field_name, feed_id, load_no, psi, psi_shape, psi_state): population stability indexes against the load before.
 
-    Values fall into classes by shape (letters A, digits 9, runs shortened), missing values into one of their own; a class
-    absent on one side counts as half a row. Classes are few however many values there are.
+    psi compares the values, psi_shape their shapes (letters A, digits 9, runs shortened), psi_state the missing, malformed and
+    well-formed shares, which many values that occur once would hide in psi. A class absent on one side counts as half a row.
     """
-    shape = F.coalesce(F.regexp_replace(F.regexp_replace(F.upper(F.col("value")), "[A-Z]+", "A"), "[0-9]+", "9"), F.lit("missing"))
     keys = ["field_name", "feed_id", "load_no"]
-    classes = counts.groupBy(*keys, F.left(shape, F.lit(24)).alias("class")).agg(F.sum("n").alias("n"))
-    loads = classes.groupBy(*keys).agg(F.sum("n").alias("total"))
+    classes = counts.select(*keys, "n", F.explode(_classes()).alias("c")).groupBy(*keys, "c.kind", "c.class").agg(F.sum("n").alias("n"))
+    loads = counts.groupBy(*keys).agg(F.sum("n").alias("total"))
     loads = loads.withColumns({"p_load_no": F.lag("load_no").over(o := W.partitionBy("field_name", "feed_id").orderBy("load_no")), "p_total": F.lag("total").over(o)}).filter("p_load_no is not null")
     now = classes.join(loads, keys)
     then = classes.withColumnRenamed("n", "p_n").withColumnRenamed("load_no", "p_load_no").join(loads, ["field_name", "feed_id", "p_load_no"])
-    both = now.select(*keys, "class", "total", "p_total", "n").join(then.select(*keys, "class", F.col("total").alias("t2"), F.col("p_total").alias("pt2"), "p_n"), [*keys, "class"], "full")
+    both = now.select(*keys, "kind", "class", "total", "p_total", "n").join(then.select(*keys, "kind", "class", F.col("total").alias("t2"), F.col("p_total").alias("pt2"), "p_n"), [*keys, "kind", "class"], "full")
     p, q = F.coalesce("n", F.lit(0.5)) / F.coalesce("total", "t2"), F.coalesce("p_n", F.lit(0.5)) / F.coalesce("p_total", "pt2")
-    return both.groupBy(*keys).agg(F.sum((p - q) * F.log(p / q)).alias("psi"))
+    part = (p - q) * F.log(p / q)
+    return both.groupBy(*keys).agg(*[F.sum(F.when(F.col("kind") == k, part)).alias(k) for k in ("psi", "psi_shape", "psi_state")])
 
 
 def malformed_rows(extractions: DataFrame) -> DataFrame:

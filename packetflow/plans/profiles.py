@@ -28,8 +28,9 @@ def p2_profile(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def p2_stability(spark: SparkSession, folder: str) -> DataFrame:
-    """Population stability index of each load against the one before."""
-    return profile.stability_index(profile.value_counts(table(spark, folder, "extractions"))).withColumn("psi", F.round("psi", 6))
+    """Population stability indexes of each load against the one before: of values, of shapes, of missing and malformed shares."""
+    found = profile.stability_index(profile.value_counts(table(spark, folder, "extractions")))
+    return found.withColumns({c: F.round(c, 6) for c in ("psi", "psi_shape", "psi_state")})
 
 
 def q_record_counts(spark: SparkSession, folder: str) -> DataFrame:

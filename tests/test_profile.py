@@ -81,3 +81,15 @@ def test_empty_table_repeats_and_stability(spark):
     psi = P.stability_index(P.value_counts(shifted)).filter("field_name = 'vehicle_vin'").first().psi
     same = rows(spark, [(i, 0, 1 + i // 50, "AB", None, None, None) for i in range(100)])
     assert psi > 1 and abs(P.stability_index(P.value_counts(same)).agg(F.max("psi")).first()[0]) < 1e-9
+
+
+def test_stability_sees_values_behind_one_shape(spark):
+    rng = random.Random(8)
+    items = []
+    for i in range(200):
+        late = i >= 100
+        odo, year, tail = rng.randrange(10_000, 40_000), rng.randrange(1940, 1960), i if not late or i % 2 else 0
+        items.append((i, 0, 1 + late, f"VIN{tail:05d}", str(odo * (2 if late else 1)), None, f"01/01/{year + 30 * late}"))
+    found = {r.field_name: r for r in P.stability_index(P.value_counts(rows(spark, items))).collect()}
+    assert all(found[f].psi > 1 for f in ("vehicle_vin", "odometer_reading", "driver_dob")) and all(abs(r.psi_shape) < 1e-9 for r in found.values())
+    assert abs(found["purchase_price"].psi) < 1e-9

@@ -104,7 +104,7 @@ def load_profile(counts: DataFrame) -> DataFrame:
     base = counts.groupBy(*keys).agg(
         F.max("load_id").alias("load_id"), F.sum("n").alias("n_rows"), F.coalesce(F.sum(F.when(filled, F.col("n"))), F.lit(0)).alias("filled"), F.count("value").alias("distinct_values"),
         F.coalesce(F.max(F.when(filled, F.col("n"))), F.lit(0)).alias("mode_n"), F.coalesce(F.sum(F.when(F.col("well_formed"), F.col("n"))), F.lit(0)).alias("good"),
-        F.min("value").alias("lowest"), F.max("value").alias("highest"), F.min("number").alias("min_number"), F.max("number").alias("max_number"),
+        F.min("number").alias("min_number"), F.max("number").alias("max_number"), F.min("date").alias("min_date"), F.max("date").alias("max_date"),
     )
     return base.join(_medians(counts, keys), keys, "left")
 

@@ -22,11 +22,22 @@ def p2_found(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def p2_profile(spark: SparkSession, folder: str) -> DataFrame:
-    """Per field and load: rows, filled, distinct values, most frequent count, well-formed count, range and median."""
+    """Per field and load: rows, filled, distinct values, most frequent count, well-formed count and median; ranges are in p2_ranges."""
     loads = profile.load_profile(profile.value_counts(table(spark, folder, "extractions")))
     return loads.select("field_name", "feed_id", "load_no", "load_id", "n_rows", "filled", "distinct_values", "mode_n", "good", F.round("median", 3).alias("median"))
 
 
+def p2_ranges(spark: SparkSession, folder: str) -> DataFrame:
+    """Per field and load: smallest and largest number or birth date of the well-formed values."""
+    loads = profile.load_profile(profile.value_counts(table(spark, folder, "extractions")))
+    return loads.select("field_name", "feed_id", "load_no", "load_id", "min_number", "max_number", "min_date", "max_date")
+
+
+def p2_frequencies(spark: SparkSession, folder: str) -> DataFrame:
+    """Per field and load: every distinct value, missing as null, with its rows."""
+    return profile.value_counts(table(spark, folder, "extractions")).select("field_name", "feed_id", "load_no", "load_id", "value", "n")
+
+
 def p2_stability(spark: SparkSession, folder: str) -> DataFrame:
     """Population stability indexes of each load against the one before: of values, of shapes, of missing and malformed shares."""
     found = profile.stability_index(profile.value_counts(table(spark, folder, "extractions")))
@@ -42,7 +53,7 @@ def q_record_values(spark: SparkSession, folder: str) -> DataFrame:
     return assembly.record_values(flatten.flatten_records(table(spark, folder, "consolidated_records")), paths)
 
 
-QUERIES = {f.__name__: f for f in (q_record_counts, q_record_values, p1_found, p1_nodes, p2_found, p2_profile, p2_stability)}
+QUERIES = {f.__name__: f for f in (q_record_counts, q_record_values, p1_found, p1_nodes, p2_found, p2_profile, p2_ranges, p2_frequencies, p2_stability)}
 
 _JUDGED = r"""
 WITH long AS (
@@ -82,6 +93,12 @@ WITH long AS (
 ORACLE = {
     "p2_profile": _JUDGED
     + "SELECT field_name, feed_id, load_no, load_id, n_rows, filled, distinct_values, CAST(mode_n AS BIGINT) AS mode_n, good, round(median, 3) AS median FROM profile",
+    "p2_ranges": _JUDGED
+    + """SELECT field_name, feed_id, load_no, max(load_id) AS load_id, min(number) AS min_number, max(number) AS max_number,
+  min(dob) FILTER (field_name = 'driver_dob' AND dob BETWEEN DATE '1925-01-01' AND DATE '2009-12-31') AS min_date,
+  max(dob) FILTER (field_name = 'driver_dob' AND dob BETWEEN DATE '1925-01-01' AND DATE '2009-12-31') AS max_date
+FROM checked GROUP BY field_name, feed_id, load_no""",
+    "p2_frequencies": _JUDGED + "SELECT field_name, feed_id, load_no, max(load_id) AS load_id, value, count(*) AS n FROM judged GROUP BY field_name, feed_id, load_no, value",
     "p2_found": _JUDGED
     + """, lagged AS (
   SELECT *, lag(n_rows) OVER w AS p_rows, lag(filled) OVER w AS p_filled, lag(mode_n) OVER w AS p_mode, lag(good) OVER w AS p_good, lag(median) OVER w AS p_median

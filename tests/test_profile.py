@@ -93,3 +93,10 @@ def test_stability_sees_values_behind_one_shape(spark):
     found = {r.field_name: r for r in P.stability_index(P.value_counts(rows(spark, items))).collect()}
     assert all(found[f].psi > 1 for f in ("vehicle_vin", "odometer_reading", "driver_dob")) and all(abs(r.psi_shape) < 1e-9 for r in found.values())
     assert abs(found["purchase_price"].psi) < 1e-9
+
+
+def test_ranges_are_of_numbers_and_dates(spark):
+    items = [(i, 0, 1, None, odo, None, dob) for i, (odo, dob) in enumerate([("9", "12/31/1950"), ("1,000", "1960-01-01"), ("80 mi", "01/01/1970"), ("TMU", "1900-01-01")])]
+    found = {r.field_name: r for r in P.load_profile(P.value_counts(rows(spark, items))).collect()}
+    assert (found["odometer_reading"].min_number, found["odometer_reading"].max_number) == (9, 1000)
+    assert (str(found["driver_dob"].min_date), str(found["driver_dob"].max_date)) == ("1950-12-31", "1970-01-01")

@@ -8,6 +8,7 @@ import pathlib
 import re
 import shutil
 import tempfile
+import uuid
 import zipfile
 
 from pyspark.sql import DataFrame, SparkSession
@@ -46,6 +47,33 @@ def cut_lineage(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+class Scratch:
+    """Tables of a loop, written into the shared checkpoint folder and removed at the end of the with block.
+
+    A checkpoint keeps the size its plan estimated, and estimates of joins multiply: after some twenty rounds they have more
+    digits than a round takes to compute. A written table has the size it has.
+    """
+
+    def __init__(self, spark: SparkSession):
+        ensure_checkpoint_dir(spark)
+        self.spark, self.n = spark, 0
+        self.root = f"{spark.sparkContext._jsc.sc().getCheckpointDir().get()}/scratch-{uuid.uuid4().hex}"
+
+    def keep(self, df: DataFrame) -> DataFrame:
+        self.n += 1
+        path = f"{self.root}/{self.n}"
+        df.write.option("compression", "lz4_raw").parquet(path)
+        return self.spark.read.schema(df.schema).parquet(path)
+
+    def __enter__(self) -> Scratch:
+        return self
+
+    def __exit__(self, *_) -> None:
+        context = self.spark.sparkContext
+        path = context._jvm.org.apache.hadoop.fs.Path(self.root)
+        path.getFileSystem(context._jsc.hadoopConfiguration()).delete(path, True)
+
+
 def spread(df: DataFrame, *columns: str) -> DataFrame:
     """Hash partitions in a number that adaptive execution keeps: for stages that are small in bytes but heavy in work."""
     spark = df.sparkSession

@@ -36,10 +36,14 @@ def clusters(pairs, keys):
 
 def test_components(spark):
     rng = random.Random(2)
-    edges = [(rng.randrange(300), rng.randrange(300)) for _ in range(220)] + [(1000 + i, 1001 + i) for i in range(25)]
-    edges = [(a, b) for a, b in edges if a != b]
-    found = {r.node: r.component for r in components(spark.createDataFrame(edges, "a bigint, b bigint")).collect()}
-    assert found == clusters(edges, {k for e in edges for k in e})
+    edges = [(rng.randrange(300), rng.randrange(300)) for _ in range(220)] + [(1000 + i, 1001 + i) for i in range(80)] + [(5000, 5001 + i) for i in range(60)] + [(6060, 6000 + i) for i in range(60)]
+    shuffled = list(range(10_000, 10_101))
+    rng.shuffle(shuffled)
+    edges += list(zip(shuffled, shuffled[1:])) + [(20_000 + i, 20_001 + i) for i in range(100)]
+    df = spark.createDataFrame([*edges, (7, 7), (None, 8), (9, None)], "a bigint, b bigint")
+    found = {r.node: r.component for r in components(df).collect()}
+    right = clusters([(a, b) for a, b in edges if a != b], {k for a, b in edges if a != b for k in (a, b)})
+    assert found.keys() == right.keys() and len({(found[k], right[k]) for k in found}) == len({*right.values()}) == len({*found.values()})
     assert components(spark.createDataFrame([], "a bigint, b bigint")).count() == 0
 
 

@@ -1,12 +1,14 @@
 """Template residue, filler, error pages and script notices (p9).
 
-Texts are cut into segments (lines and sentences); numbers, codes, dates and addresses in them are masked, and equal
-masked segments are grouped by hash across documents and sources. Segments are classified by rules: phrases and
-placeholders that have no other reading count wherever they stand, vaguer messages only when the same masked message
-recurs in several documents of more than one source. Sentences that speak about such things (a marker in a letter
-template, an office's browser settings) match no rule: phrases are whole messages or bound to the start of a segment.
+Texts are cut into segments (lines and sentences); numbers, codes, dates and addresses in them are masked, and equal masked
+segments are grouped by hash over all documents, with the documents and sources that carry them. A group that recurs is
+a message when its wording has the shape of one: a cue (error, expired, javascript, placeholder ...) and hardly a word
+beside those that machines, browsers and templates use. Sentences that speak about such things name people, places and
+papers as well and have another shape. Some wordings and placeholders have no other reading and count wherever they stand.
 
-Only segments that match a rule leave their task, as a hash; texts are never shuffled.
+What a segment could be depends on its masked words alone, so segments without a cue and without a placeholder are left out
+before they are grouped; only hashes leave their task, texts are never shuffled, and a hash that millions of documents
+carry is combined before the shuffle.
 
 Results for odd input: null, empty and blank texts are not residue; texts are read whole, however long; a null source
 is a source of its own; repeated rows give one row per document; other columns are not read.
@@ -23,37 +25,49 @@ from pyspark.sql import DataFrame, functions as F
 from packetflow.llm.words import _WORD, folded, plain, words
 from packetflow.session import cut_lineage
 
-#: A vague message counts when at least so many documents of so many sources carry it.
+#: A message counts when at least so many documents of so many sources carry it.
 RECURS_DOCUMENTS, RECURS_SOURCES = 3, 2
+#: Share of a message's words (function words aside) that machines, browsers and templates use; with one cue all of them.
+SHAPED = 0.75
+
+#: Cues by kind, English and Spanish, without accents.
+CUES = {
+    "script": "javascript script scripts scripting noscript cookie cookies navegador browser",
+    "error": "error errors exception fatal traceback denied forbidden unavailable unauthorized timeout timed expired failed failure failing unexpected invalid overloaded maintenance oops sorry wrong gateway http https status server again reload refresh retry robot captcha traffic rights permission loading moved gone crashed offline unreachable caducado caducada denegado encontrada encontrado movido cargando intente intentelo servidor",
+    "filler": "lorem ipsum placeholder dummy sample filler blah asdf qwer copy paragraph wording heading relleno sustituya parrafo",
+}
+#: Other words of messages.
+USUAL = frozenset(
+    """please try later soon back start home return exist exists longer requested asked open opened opening load loaded loads view viewed viewer see page pages site website web link address url app application form screen window service services system portal
+    image record records content text body box letter closing title header line one two three few call called null undefined empty object java lang php view run main message kind code unusual network tick show slow down list second seconds minute minutes hour moment waiting while out support supports supported
+    blocks block require requires required capable turned turn switch on only need needs starts allowed allow enable enabled disable disabled activate appear something went side here final will test user name password log login sign session access do does did not no can cannot could must may you your we our us
+    contact administrator request requests internal bad found many too most recent last process processed processing complete completed connection connect database time limit reached temporarily temporary currently problem problems issue trouble document file files handle handled store stored click go
+    activar active habilite habilitar debe ver formulario pagina inicio iniciar sesion vuelva nuevo contenido texto documento acceso existe ya no su por favor mas tarde""".split()
+)
+#: Function words, which tell nothing.
+FUNCTION = frozenset("a an the this that these it its is are was were be been being has have had to of for in at by with from as if and or so there than up el la los las un una de del en con para que se al este esta".split())
 
-#: Messages in place of content; ^ and $ bind to the ends of a segment, # stands for a number.
+#: Wordings with no other reading; ^ and $ bind to the ends of a segment, # stands for a number.
 SCRIPT_NOTICES = (
-    "^this app starts only with javascript", "^noscript", "^please enable javascript", "^please turn on javascript", "^you need to enable javascript", "^enable javascript to", "^javascript is required", "^javascript is disabled", "^javascript must be enabled",
-    "needs scripts turned on", "your browser has scripting disabled", "^cookies and scripts must be allowed", "does not appear switch on scripts", "your browser is out of date or blocks scripts", "requires a script capable browser",
-    "^debe activar javascript", "^active javascript para", "^habilite javascript",
+    "^noscript", "^please enable javascript", "^please turn on javascript", "^you need to enable javascript", "^enable javascript to", "^javascript is required", "^javascript is disabled", "^javascript must be enabled", "needs scripts turned on", "your browser has scripting disabled", "your browser is out of date or blocks scripts",
+    "^cookies and scripts must be allowed", "^debe activar javascript", "^active javascript para", "^habilite javascript",
 )
 ERROR_PAGES = (
-    "^access denied$", "you do not have rights to open this record", "you do not have permission to access", "^acceso denegado$", "^oops something went wrong", "something went wrong on our side", "^service unavailable$", "^service temporarily unavailable", "is down for maintenance until", "^your session has expired", "^session expired$",
-    "^su sesion ha caducado", "vuelva a iniciar sesion", "^pagina no encontrada", "^page not found$", "fue movido o ya no existe", "^gateway timed out", "^# gateway timeout", "slow down and reload the list", "^too many requests$", "we detected unusual traffic from your network", "tick the box to show you are not a robot",
-    "^fatal error", "^traceback most recent call last", "nullpointerexception", "^http status #", "^kind status message$", "the page you asked for could not be", "return to the start page or try again later", "the server could not return what was asked for", "the server could not serve what was asked for", "the server could not find what was asked for",
-    "^# not found$", "^# forbidden$", "^# gone$", "^# bad gateway$", "^# unavailable$", "^# service unavailable$", "^# internal server error$", "^error #", "^internal server error$", "^bad gateway$",
-)
-FILLER = (
-    "your text goes here", "your heading goes here", "^sample text$", "^sample text replace", "replace this paragraph with the wording", "^texto de relleno", "sustituya este parrafo", "^this is dummy copy", "^line one of placeholder copy", "^line two of placeholder copy", "^line three of placeholder copy",
-    "blah blah blah", "asdf asdf", "qwer qwer", "^type the body of the letter in this box", "^type the closing in this box", "lorem ipsum",
+    "^access denied$", "you do not have permission to access", "^acceso denegado$", "^oops something went wrong", "something went wrong on our side", "^service unavailable$", "^service temporarily unavailable", "^your session has expired", "^session expired$", "^su sesion ha caducado", "^pagina no encontrada", "^page not found$", "fue movido o ya no existe",
+    "^too many requests$", "we detected unusual traffic from your network", "^fatal error", "^traceback most recent call last", "nullpointerexception", "^http status #", "the page you asked for could not be", "the server could not return what was asked for", "the server could not serve what was asked for", "the server could not find what was asked for",
+    "^# not found$", "^# forbidden$", "^# gone$", "^# bad gateway$", "^# unavailable$", "^# service unavailable$", "^# internal server error$", "^# gateway timeout", "^error #", "^internal server error$", "^bad gateway$", "^gateway timed out",
 )
-#: Openings of messages that count only when they recur.
-VAGUE = ("^warning", "^loading", "^sorry", "^we are sorry", "^please try again", "^try again later", "^please reload", "^click here", "^placeholder", "^cargando", "^intentelo de nuevo", "^lo sentimos")
+FILLER = ("your text goes here", "your heading goes here", "^sample text$", "^sample text replace", "^texto de relleno", "^this is dummy copy", "^this is dummy text", "^type the body of the letter", "^type the closing", "blah blah blah", "asdf asdf", "qwer qwer", "lorem ipsum")
 #: Stems of filler Latin.
 LATIN = ("lorem", "ipsum", "dolor", "sit", "amet", "consect", "adipis", "elit", "sed", "eiusmod", "tempor", "incidid", "labor", "magna", "aliqu", "enim", "minim", "veniam", "quis", "nostru", "exerci", "ullamc", "nisi", "commod", "conseq", "duis", "aute", "irure", "repreh", "volupt", "velit", "esse", "cillum", "fugiat", "nulla", "pariat", "except", "sint", "occaec", "cupid", "proid", "sunt", "culpa", "offici", "deseru", "mollit", "anim", "laborum", "dolore", "est")
 #: Words that name fields of letters and forms.
 FIELD_WORDS = frozenset("vin owner name first last full amount price total due date sale sold lienholder lender lien clerk plate no number dealer dealership city state zip street address buyer seller customer phone email make model year color odometer document title county account signature insert enter here your the recipient sender company".split())
 
-_FIELD = r"[A-Za-z][A-Za-z_ .]{0,40}?"
+_FIELD = r"[A-Za-z][A-Za-z_ .]*?"
 #: Placeholders whose brackets alone show them.
-_SURE = re.compile(r"\{\{\s*[^{}\n]{1,60}\}\}|\$\{[^{}\n]{1,60}\}|#\{[^{}\n]{1,60}\}|\{%=?[^%{}\n]{1,60}%\}|<%=?[^%<>\n]{1,60}%>|@@[A-Za-z][\w ]{0,40}@@|\[\[\s*[A-Za-z][^\[\]\n]{0,60}\]\]|\[object object\]|#ref!|#value!|#name\?|#n/a|error! reference source not found|\[(?:insert|enter) [^\[\]\n]{1,60}\]|(?<![\w%])%[sd](?![\w%])|\{[0-9]\}", re.I)
+_SURE = re.compile(r"\{\{\s*[^{}\n]+\}\}|\$\{[^{}\n]+\}|#\{[^{}\n]+\}|\{%=?[^%{}\n]+%\}|<%=?[^%<>\n]+%>|@@[A-Za-z][\w ]*@@|\[\[\s*[A-Za-z][^\[\]\n]*\]\]|\[object object\]|#ref!|#value!|#name\?|#n/a|error! reference source not found|\[(?:insert|enter) [^\[\]\n]+\]|(?<![\w%])%[sd](?![\w%])|\{[0-9]\}", re.I)
 #: Placeholders only with a field's name inside.
-_NAMED = re.compile(rf"<<\s*({_FIELD})\s*>>|<({_FIELD})>|\[({_FIELD})\]|\{{({_FIELD})\}}|%({_FIELD})%|(?<![A-Za-z0-9])XX({_FIELD})XX(?![A-Za-z0-9])|(?<!_)__({_FIELD})__(?!_)")
+_NAMED = re.compile(rf"<<\s*({_FIELD})\s*>>|<({_FIELD})>|\[({_FIELD})\]|\{{({_FIELD})\}}|«\s*({_FIELD})\s*»|‹\s*({_FIELD})\s*›|##({_FIELD})##|%%?({_FIELD})%%?|(?<![A-Za-z0-9])XX({_FIELD})XX(?![A-Za-z0-9])|(?<!_)__({_FIELD})__(?!_)")
 _LABEL = re.compile(r"(?m)^[ \t>*-]*(?:[A-Za-zÁÉÍÓÚáéíóúñ][A-Za-zÁÉÍÓÚáéíóúñ ]{1,24}:|Dear|DEAR|dear|Hello|Hi|Estimad[oa]|ESTIMAD[OA])[ \t]*\$?(undefined|UNDEFINED|null|NULL|None|NONE|NaN|nan|NAN|TODO|todo|nil|NIL|\(string\)|\(STRING\)|\(null\)|\(NULL\))[ \t]*[,.;]?[ \t]*$|\$(?:undefined|UNDEFINED|null|NULL|NaN|NAN|None|NONE|TODO)\b")
 _BROKEN = ("undefined", "null", "none", "nan", "todo", "nil", "error!")
 #: Sentences that speak about a marker instead of leaving one unfilled.
@@ -75,7 +89,9 @@ def _rules(phrases: tuple[str, ...]) -> re.Pattern:
 
 
 KINDS = (("script", _rules(SCRIPT_NOTICES)), ("error", _rules(ERROR_PAGES)), ("filler", _rules(FILLER)))
-_VAGUE = _rules(VAGUE)
+_CUE = {folded(w): kind for kind, text in CUES.items() for w in text.split()}
+_USUAL = frozenset(folded(w) for w in USUAL) | _CUE.keys()
+_FUNCTION = frozenset(folded(w) for w in FUNCTION)
 _LATIN = re.compile("(?:" + "|".join(folded(s) for s in LATIN) + r")\w*$")
 
 
@@ -88,9 +104,23 @@ def masked(segment: str) -> str:
     return " ".join(found)
 
 
+def shape(mask: str) -> str | None:
+    """The kind of message a masked segment has the shape of."""
+    tokens = [w for w in mask.split() if w not in _FUNCTION and w not in "#@"]
+    found = {_CUE[w]: w for w in tokens if w in _CUE}
+    if not found:
+        return None
+    share = sum(w in _USUAL for w in tokens) / len(tokens)
+    if share < 1 and (share < SHAPED or len({w for w in tokens if w in _CUE}) < 2):
+        return None
+    return next(kind for kind in CUES if kind in found)
+
+
 def has_placeholder(text: str) -> bool:
     """An unfilled placeholder or a broken value where content belongs."""
-    if not any(c in text for c in "{[<%@#(") and "__" not in text and "XX" not in text and not any(w in text.lower() for w in _BROKEN):
+    if "&" in text:
+        text = text.replace("&lt;", "<").replace("&gt;", ">").replace("&laquo;", "«").replace("&raquo;", "»")
+    if not any(c in text for c in "{[<«‹%@#(") and "__" not in text and "XX" not in text and not any(w in text.lower() for w in _BROKEN):
         return False
     if _SURE.search(text) or _LABEL.search(text):
         return True
@@ -101,7 +131,7 @@ def has_placeholder(text: str) -> bool:
         if named <= FIELD_WORDS or {w.lower() for w in re.findall(r"[A-Z]?[a-z]+|[A-Z]+(?![a-z])", inner)} <= FIELD_WORDS or _compound(named):
             start, end = text.rfind("\n", 0, m.start()) + 1, text.find("\n", m.end())
             before = max(start, text.rfind(". ", 0, m.start()) + 1)
-            if parts and not _ABOUT.search(text[before : end if end >= 0 else len(text)][:400]):
+            if parts and not _ABOUT.search(text[before : end if end >= 0 else len(text)]):
                 return True
     return False
 
@@ -120,46 +150,50 @@ _ANYWHERE = {_core(p): kind for kind, phrases in (("script", SCRIPT_NOTICES), ("
 
 
 class Reader:
-    """The rules with what makes them fast: one automaton over all phrases, and a bounded memory of words."""
+    """The rules with what makes them fast: one automaton over all wordings, and a bounded memory of words."""
 
     def __init__(self, most: int = 200_000):
         import ahocorasick
 
         self.triggers = ahocorasick.Automaton()
-        for p in (*SCRIPT_NOTICES, *ERROR_PAGES, *FILLER, *VAGUE):
+        for p in (*SCRIPT_NOTICES, *ERROR_PAGES, *FILLER):
             core = _core(p)
             self.triggers.add_word(f" {core} ", core)
         self.triggers.make_automaton()
-        self.known: dict[str, tuple[str, bool]] = {}
+        self.known: dict[str, tuple[str, bool, bool]] = {}
         self.most = most
 
-    def fold(self, text: str) -> tuple[str, int]:
-        """The folded words between blanks, and how many are filler Latin."""
+    def fold(self, text: str) -> tuple[str, int, int]:
+        """The folded words of plain text between blanks, how many are filler Latin, and how many are cues."""
         if len(self.known) > self.most:
             self.known.clear()
-        known, found, latin = self.known, [], 0
-        for w in _WORD.findall(plain(text)):
+        known, found, latin, cues = self.known, [], 0, 0
+        for w in _WORD.findall(text):
             if (x := known.get(w)) is None:
                 f = folded(w)
-                x = known[w] = (f, bool(_LATIN.match(f)))
+                x = known[w] = (f, bool(_LATIN.match(f)), f in _CUE)
             found.append(x[0])
             latin += x[1]
-        return f" {' '.join(found)} ", latin
+            cues += x[2]
+        return f" {' '.join(found)} ", latin, cues
 
     def segments(self, text: str) -> Iterator[tuple[str, str, bool]]:
-        """(kind, masked segment, sure) of the segments that match a rule."""
+        """(kind, masked segment, sure) of the segments that can be a message; sure ones count without recurring."""
         if has_placeholder(text):
             yield "placeholder", "", True
-        whole, latin = self.fold(text)
+        low = plain(text)
+        whole, latin, cues = self.fold(low)
         hits = {core for _, core in self.triggers.iter(whole)}
         for core in hits:
             if core in _ANYWHERE:
                 yield _ANYWHERE[core], "", True
-        if not hits and latin < 5:
+        if not hits and latin < 5 and not cues:
             return
         seen = set()
-        for piece in _CUT.split(text):
-            if not piece or (mask := masked(piece)) in seen or not mask:
+        for piece in _CUT.split(low):
+            if not piece or not hits and latin < 5 and not self.fold(piece)[2]:
+                continue
+            if (mask := masked(piece)) in seen or not mask:
                 continue
             seen.add(mask)
             padded, tokens = f" {mask} ", mask.split()
@@ -168,12 +202,12 @@ class Reader:
                 kind = "filler"
             if kind:
                 yield kind, mask, True
-            elif len(tokens) <= 25 and _VAGUE.search(padded):
-                yield "vague", mask, False
+            elif kind := shape(mask):
+                yield kind, mask, False
 
 
 def messages(documents: DataFrame) -> DataFrame:
-    """(doc_id, source, kind, hash, sure): every segment that matches a rule, as the hash of its masked form."""
+    """(doc_id, source, kind, hash, sure): every segment that can be a message, as the hash of its masked form."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         import xxhash
@@ -189,17 +223,22 @@ def messages(documents: DataFrame) -> DataFrame:
     return rows.mapInPandas(run, "doc_id bigint, source string, kind string, hash bigint, sure boolean")
 
 
-def recurring(found: DataFrame) -> DataFrame:
-    """(hash) of vague messages that recur across documents and sources."""
-    groups = found.filter("not sure").groupBy("hash").agg(F.count("*").alias("n_documents"), F.min("source").alias("low"), F.max("source").alias("high"))
-    return groups.filter((F.col("n_documents") >= RECURS_DOCUMENTS) & (F.col("low") != F.col("high"))).select("hash")
+def groups(found: DataFrame) -> DataFrame:
+    """(kind, hash, n_documents, n_sources, sure): equal masked segments over all documents."""
+    each = found.groupBy("kind", "hash", "source", "doc_id").agg(F.max("sure").alias("sure")).groupBy("kind", "hash", "source").agg(F.count("*").alias("n"), F.max("sure").alias("sure"))
+    return each.groupBy("kind", "hash").agg(F.sum("n").alias("n_documents"), F.count("*").alias("n_sources"), F.max("sure").alias("sure"))
+
+
+def recurs(found: DataFrame) -> DataFrame:
+    """The groups that recur over documents and sources; rules that look at the whole text have no hash of their own."""
+    return groups(found).filter((F.col("n_documents") >= RECURS_DOCUMENTS) & (F.col("n_sources") >= RECURS_SOURCES))
 
 
 def residue(documents: DataFrame) -> DataFrame:
     """(doc_id, kinds array<string>) of the documents to leave out."""
-    found = cut_lineage(messages(documents))  # read three times below
-    vague = found.filter("not sure").join(recurring(found), "hash", "left_semi")
-    rows = found.filter("sure").select("doc_id", "kind").unionByName(vague.select("doc_id", "kind"))
+    found = cut_lineage(messages(documents))  # read twice below
+    recurring = found.filter("not sure").join(recurs(found.filter("not sure")).select("kind", "hash"), ["kind", "hash"], "left_semi")
+    rows = found.filter("sure").select("doc_id", "kind").unionByName(recurring.select("doc_id", "kind"))
     return rows.groupBy("doc_id").agg(F.array_sort(F.collect_set("kind")).alias("kinds"))
 
 

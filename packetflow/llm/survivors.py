@@ -1,18 +1,22 @@
 """Best value of each packet and field out of contradicting readings (p4).
 
-Iterative truth discovery: the votes for a value are the confidences of its readings weighted by how reliable their
-document types have proved for that field; the reliabilities are the share of a type's confidence that went to winning
-values; both are estimated in turn until they settle. What a field is known to follow comes before the votes: the trust
-of the document type (vehicle fields), the document date (street, odometer) or how complete the name is.
-
-One shuffle brings the readings to one row per packet, field and value with its at most 16 document types; every round
-is then a map and one combined aggregate over those rows, so a packet that holds a third of all readings is never in one
-task's memory. Only the reliabilities (document types x fields) reach the driver.
+Iterative truth discovery: the vote of a reading is its confidence times the reliability of its document type in that
+field; the reliability of a type is the share of its votes that went to winning values; both are estimated in turn until
+no reliability moves by SETTLED. What a field is known to follow is the prior of the sources. Votes count in levels that
+lie beyond each other, so the support of a value is its votes level by level, highest first, and the value with the
+highest support survives; a level without votes does not count. In vehicle fields a level is a document type, in the order
+of the estimated reliabilities, which may rise with trust only (pooled where the data say otherwise); for street and
+odometer it is a document date; for names how well read and complete the name is; other fields have one level, where the
+weighted votes alone decide.
+
+Readings are reduced to one row per packet, field and value with its votes by type and date (by type, where dates do not
+matter), combined before every shuffle; a round is then a map and one combined aggregate over those rows, so a packet that
+holds a third of all readings is never in one task's memory. Only the reliabilities (document types x fields) reach the driver.
 
 Results for odd input: null, blank and placeholder values and readings below the least confidence never survive; where
-nothing else is left there is no row; a null or unknown document type votes with least trust; a null confidence counts
-as the least confidence, a null date as the oldest; repeated rows change nothing; ties end with the greater value in
-text order.
+nothing else is left there is no row; a null or unknown document type has least trust; a null confidence counts as the
+least confidence, a null date as the oldest; rows delivered again under one variant_id vote once; ties end with the
+greater value in text order.
 """
 
 from __future__ import annotations
@@ -28,7 +32,9 @@ NAME_FIELDS = ("owner_full_name",)
 LEAST_CONFIDENCE = 0.3
 #: Names read with less are taken only where no other reading is left.
 WELL_READ = 0.6
-ROUNDS, SETTLED = 10, 0.02
+#: Reliabilities that move less have settled; from DAMPED rounds on they move half the way; unsettled after ROUNDS is an error.
+SETTLED, DAMPED, ROUNDS = 0.01, 6, 60
+_UNIT = 1_000_000
 #: Texts that stand for a missing value.
 PLACEHOLDERS = ("", "-", "--", ".", "?", "NA", "N/A", "NONE", "NULL", "NIL", "TBD", "TBA", "UNKNOWN", "UNK", "SEE ATTACHED", "SEEATTACHED", "SEE FILE", "PENDING", "XXX", "NOT LISTED", "SAME")
 #: What is written around a name without being part of it.
@@ -43,15 +49,20 @@ def normalized(field: Column, value: Column) -> Column:
 
 
 def readings(variants: DataFrame, document_types: DataFrame) -> DataFrame:
-    """(packet_id, field_name, value_norm, types array<struct<type, trust, confidence, date>>): eligible values, one row each."""
-    known = document_types.groupBy(F.col("type_id").alias("source_type")).agg(F.max("trust").alias("trust"))
-    norm = normalized(F.col("field_name"), F.col("value"))
-    norm = F.when(F.col("field_name").isin(*NAME_FIELDS), F.trim(F.regexp_replace(F.regexp_replace(norm, BEFORE_NAME, ""), AFTER_NAME, ""))).otherwise(norm)
-    rows = variants.select("packet_id", "field_name", norm.alias("value_norm"), F.coalesce("confidence", F.lit(LEAST_CONFIDENCE)).alias("confidence"), F.col("source_document_type").alias("source_type"), F.col("document_date").alias("date"))
-    rows = rows.filter(F.col("value_norm").isNotNull() & ~F.col("value_norm").isin(*PLACEHOLDERS) & (F.col("confidence") >= LEAST_CONFIDENCE))
-    rows = rows.join(known, "source_type", "left").withColumn("source_type", F.when(F.col("trust").isNotNull(), F.col("source_type")).otherwise("unknown")).withColumn("trust", F.coalesce("trust", F.lit(0)))
-    each = rows.groupBy("packet_id", "field_name", "value_norm", "source_type").agg(F.max("trust").alias("trust"), F.max("confidence").alias("confidence"), F.max("date").alias("date"))
-    return each.groupBy("packet_id", "field_name", "value_norm").agg(F.collect_list(F.struct(F.col("source_type").alias("type"), "trust", "confidence", "date")).alias("types"))
+    """(packet_id, field_name, value_norm, types array<struct<type, trust, day, units, surest>>): eligible values, one row each."""
+    known = document_types.groupBy(F.col("type_id").alias("type")).agg(F.max("trust").alias("trust"))
+    field = F.col("field_name")
+    norm = normalized(field, F.col("value"))
+    norm = F.when(field.isin(*NAME_FIELDS), F.trim(F.regexp_replace(F.regexp_replace(norm, BEFORE_NAME, ""), AFTER_NAME, ""))).otherwise(norm)
+    day = F.when(field.isin(*DATE_FIELDS), F.datediff("document_date", F.lit("1900-01-01").cast("date")))
+    units = F.round(F.coalesce("confidence", F.lit(LEAST_CONFIDENCE)) * _UNIT).cast("bigint")
+    rows = variants.select("variant_id", "packet_id", "field_name", norm.alias("value_norm"), units.alias("units"), F.col("source_document_type").alias("type"), day.alias("day"))
+    rows = rows.filter(F.col("value_norm").isNotNull() & ~F.col("value_norm").isin(*PLACEHOLDERS) & (F.col("units") >= round(LEAST_CONFIDENCE * _UNIT)))
+    rows = rows.join(known, "type", "left").withColumn("type", F.when(F.col("trust").isNotNull(), F.col("type")).otherwise("unknown")).withColumn("trust", F.coalesce("trust", F.lit(0)))
+    key = ["packet_id", "field_name", "value_norm"]
+    once = rows.groupBy(*key, "type", "trust", "day", "variant_id").agg(F.max("units").alias("units"))
+    each = once.groupBy(*key, "type", "trust", "day").agg(F.sum("units").alias("units"), F.max("units").alias("surest"))
+    return each.groupBy(*key).agg(F.array_sort(F.collect_list(F.struct("type", "trust", "day", "units", "surest"))).alias("types"))
 
 
 def contradicted(variants: DataFrame) -> DataFrame:
@@ -61,49 +72,85 @@ def contradicted(variants: DataFrame) -> DataFrame:
     return rows.groupBy("packet_id", "field_name").agg(F.min("v").alias("low"), F.max("v").alias("high")).filter("low <> high").select("packet_id", "field_name")
 
 
-def votes(reliability: dict[tuple[str, str], float]) -> Column:
-    """Sum over a value's document types of confidence times reliability in the field."""
-    if not reliability:
-        return F.aggregate("types", F.lit(0.0), lambda a, t: a + t["confidence"])
-    known = F.create_map(*[x for (f, t), r in sorted(reliability.items()) for x in (F.lit(f"{f}\t{t}"), F.lit(float(r)))])
-    return F.aggregate("types", F.lit(0.0), lambda a, t: a + t["confidence"] * F.coalesce(known[F.concat_ws("\t", "field_name", t["type"])], F.lit(0.1)))
-
-
-def reliabilities(values: DataFrame, rounds: int = ROUNDS, settled: float = SETTLED) -> tuple[dict[tuple[str, str], float], int]:
-    """(field, document type) -> reliability, estimated in turn with the winning values until they settle; and the rounds."""
+def monotone(shares: list[tuple[float, float]]) -> list[float]:
+    """Means of (value, weight) pooled so that they never fall, in the order given."""
+    pools: list[list[float]] = []
+    for value, weight in shares:
+        pools.append([value, weight, 1])
+        while len(pools) > 1 and pools[-2][0] > pools[-1][0]:
+            v, w, n = pools.pop()
+            pools[-1] = [(pools[-1][0] * pools[-1][1] + v * w) / (pools[-1][1] + w), pools[-1][1] + w, pools[-1][2] + n]
+    return [v for v, _, n in pools for _ in range(n)]
+
+
+class Reliability:
+    """What is known of the document types of each field: how reliable each is, and its place among those of the field."""
+
+    def __init__(self, given: dict[tuple[str, str], tuple[int, int]], won: dict[tuple[str, str], int] | None = None, last: Reliability | None = None):
+        self.given, self.of, self.place = given, {}, {}
+        for field in sorted({f for f, _ in given}):
+            types = sorted((t for f, t in given if f == field), key=lambda t: (given[field, t][1], t))
+            shares = [0.1 + 0.8 * min(given[field, t][1], 100) / 100 if won is None else (won.get((field, t), 0) + _UNIT) / (given[field, t][0] + 2 * _UNIT) for t in types]
+            if field in TRUST_FIELDS:  # among types of equal trust nothing is known, so their order is the estimated one
+                pairs = sorted(zip(types, shares), key=lambda p: (given[field, p[0]][1], p[1], p[0]))
+                types, shares = [t for t, _ in pairs], monotone([(x, given[field, t][0] + 2.0 * _UNIT) for t, x in pairs])
+            if last:
+                shares = [(x + last.of[field, t]) / 2 for x, t in zip(shares, types)]
+            self.of |= {(field, t): x for x, t in zip(shares, types)}
+            order = sorted(types, key=lambda t: (self.of[field, t], given[field, t][1]))
+            levels = sorted({(self.of[field, t], given[field, t][1]) for t in types})
+            self.place |= {(field, t): float(levels.index((self.of[field, t], given[field, t][1]))) for t in order}
+
+    def moved(self, other: Reliability) -> float:
+        return max((abs(x - other.of[k]) for k, x in self.of.items()), default=0.0)
+
+    def _look_up(self, numbers: dict[tuple[str, str], float], t: Column) -> Column:
+        return F.create_map(*[F.lit(x) for (f, name), n in sorted(numbers.items()) for x in (f"{f}\t{name}", float(n))])[F.concat_ws("\t", "field_name", t["type"])]
+
+    def support(self) -> Column:
+        """array<struct<level, votes>> of a value, highest level first."""
+        if not self.of:
+            return F.lit(None).cast("array<struct<level:struct<a:double,b:double,c:double>,votes:double>>")
+        field, value = F.col("field_name"), F.col("value_norm")
+        full = F.size(F.filter(F.split(value, " "), lambda w: F.length(F.regexp_replace(w, "[^A-Z0-9]", "")) >= 2)).cast("double")
+        zero = F.lit(0.0)
+
+        def level(t: Column) -> Column:
+            first = F.when(field.isin(*TRUST_FIELDS), self._look_up(self.place, t)).when(field.isin(*DATE_FIELDS), F.coalesce(t["day"].cast("double"), F.lit(-1.0))).when(field.isin(*NAME_FIELDS), (t["surest"] >= round(WELL_READ * _UNIT)).cast("double")).otherwise(zero)
+            of_name = lambda x: F.when(field.isin(*NAME_FIELDS), x).otherwise(zero)
+            return F.struct(first.alias("a"), of_name(full).alias("b"), of_name(F.length(value).cast("double")).alias("c"))
+
+        votes = F.transform("types", lambda t: F.struct(level(t).alias("level"), (t["units"] / _UNIT * self._look_up(self.of, t)).alias("votes")))
+        votes = F.filter(votes, lambda v: v["votes"] > 0)
+        levels = F.array_sort(F.array_distinct(F.transform(votes, lambda v: v["level"])))
+        return F.reverse(F.transform(levels, lambda x: F.struct(x.alias("level"), F.aggregate(F.filter(votes, lambda v: v["level"] == x), zero, lambda a, v: a + v["votes"]).alias("votes"))))
+
+
+def reliabilities(values: DataFrame) -> tuple[Reliability, list[float]]:
+    """The settled reliabilities, and by how much the largest change of every round moved one."""
     t = F.explode("types").alias("t")
-    total = {(r.field_name, r.type): r for r in values.select("field_name", t).groupBy("field_name", "t.type").agg(F.sum("t.confidence").alias("given"), F.max("t.trust").alias("trust")).collect()}  # types x fields
-    now = {k: 0.1 + 0.8 * min(r.trust or 0, 100) / 100 for k, r in total.items()}
-    for n in range(1, rounds + 1):
-        best = values.groupBy("packet_id", "field_name").agg(F.max(F.struct(votes(now).alias("votes"), "value_norm", "types")).alias("best"))
-        won = best.select("field_name", F.explode("best.types").alias("t")).groupBy("field_name", "t.type").agg(F.sum("t.confidence").alias("won")).collect()  # types x fields
-        last, share = now, {(r.field_name, r.type): r.won for r in won}
-        now = {k: (share.get(k, 0.0) + 1.0) / (r.given + 2.0) for k, r in total.items()}
-        if all(abs(now[k] - last[k]) < settled for k in now):
+    given = {(r.field_name, r.type): (r.given, r.trust) for r in values.select("field_name", t).groupBy("field_name", "t.type").agg(F.sum("t.units").alias("given"), F.max("t.trust").alias("trust")).collect()}  # types x fields
+    now, moves = Reliability(given), []
+    while given:
+        best = values.groupBy("packet_id", "field_name").agg(F.max(F.struct(now.support().alias("support"), "value_norm", "types")).alias("best"))
+        won = {(r.field_name, r.type): r.won for r in best.select("field_name", F.explode("best.types").alias("t")).groupBy("field_name", "t.type").agg(F.sum("t.units").alias("won")).collect()}  # types x fields
+        last, now = now, Reliability(given, won, now if len(moves) >= DAMPED else None)
+        moves.append(now.moved(last))
+        if moves[-1] < SETTLED:
             break
-    return now, n if total else 0
-
-
-def _rank(field: Column) -> Column:
-    """What a field follows before the votes, as a comparable struct."""
-    value = F.col("value_norm")
-    trust = F.array_max(F.transform("types", lambda t: t["trust"])).cast("double")
-    date = F.array_max(F.transform("types", lambda t: F.datediff(t["date"], F.lit("1900-01-01").cast("date")))).cast("double")
-    surest = F.array_max(F.transform("types", lambda t: t["confidence"]))
-    full = F.size(F.filter(F.split(value, " "), lambda w: F.length(F.regexp_replace(w, "[^A-Z0-9]", "")) >= 2)).cast("double")
-    first = F.when(field.isin(*NAME_FIELDS), (surest >= WELL_READ).cast("double")).when(field.isin(*DATE_FIELDS), F.coalesce(date, F.lit(-1.0))).when(field.isin(*TRUST_FIELDS), F.coalesce(trust, F.lit(-1.0))).otherwise(0.0)
-    second = F.when(field.isin(*NAME_FIELDS), full).otherwise(0.0)
-    third = F.when(field.isin(*NAME_FIELDS), F.length(value).cast("double")).otherwise(0.0)
-    return F.struct(first.alias("first"), second.alias("second"), third.alias("third"))
+        if len(moves) == ROUNDS:
+            raise RuntimeError(f"reliabilities have not settled in {ROUNDS} rounds: {moves[-3:]}")
+    return now, moves
 
 
 def survivors(variants: DataFrame, document_types: DataFrame) -> DataFrame:
     """(packet_id, field_name, value_norm, votes, n_values): the surviving value of every packet and field that has one."""
     values = cut_lineage(readings(variants, document_types))
     reliability, _ = reliabilities(values)
-    ranked = values.select("packet_id", "field_name", F.struct(_rank(F.col("field_name")).alias("rank"), votes(reliability).alias("votes"), "value_norm").alias("x"))
+    ranked = values.select("packet_id", "field_name", F.struct(reliability.support().alias("support"), "value_norm").alias("x"))
     best = ranked.groupBy("packet_id", "field_name").agg(F.max("x").alias("x"), F.count("*").alias("n_values"))
-    return best.select("packet_id", "field_name", "x.value_norm", "x.votes", "n_values")
+    votes = F.aggregate("x.support", F.lit(0.0), lambda a, s: a + s["votes"])
+    return best.select("packet_id", "field_name", "x.value_norm", votes.alias("votes"), "n_values")
 
 
 def found_survivors(variants: DataFrame, document_types: DataFrame) -> DataFrame:

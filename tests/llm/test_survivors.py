@@ -43,6 +43,19 @@ def test_no_contradiction_no_row(spark):
 
 def test_reliability_settles_on_the_type_that_wins(spark):
     rows = [(i * 10 + k, i, "other_field", "right" if t != "low" else "wrong", 0.9, t, None, 0, "") for i in range(30) for k, t in enumerate(("top", "mid", "low"))]
-    values = S.readings(spark.createDataFrame(rows, VARIANTS), types(spark)).cache()
-    found, rounds = S.reliabilities(values)
-    assert found["other_field", "mid"] > 0.9 > 0.1 > found["other_field", "low"] and rounds <= S.ROUNDS
+    found, moves = S.reliabilities(S.readings(spark.createDataFrame(rows, VARIANTS), types(spark)))
+    assert found.of["other_field", "mid"] > 0.9 > 0.1 > found.of["other_field", "low"] and moves[-1] < S.SETTLED
+
+
+def test_votes_decide(spark):
+    """Two types of equal trust: the one that agrees with the rest elsewhere is believed where the two stand alone."""
+    same = spark.createDataFrame([("top", 100, ""), ("mid", 100, ""), ("low", 5, "")], TYPES)
+    rows = [(i * 10 + k, i, "vehicle_make", v, 0.8, t, None, 0, "") for i in range(20) for k, (t, v) in enumerate((("top", "Z"), ("mid", "A"), ("low", "A")))] + [(901, 99, "vehicle_make", "Z", 0.8, "top", None, 0, ""), (902, 99, "vehicle_make", "A", 0.8, "mid", None, 0, "")]
+    out = {(r.packet_id, r.value_norm) for r in S.found_survivors(spark.createDataFrame(rows, VARIANTS), same).collect()}
+    assert out == {(i, "A") for i in [*range(20), 99]}
+    # Readings of one level are counted, not only the surest of each type.
+    assert survive(spark, "vehicle_make", ("A", 0.9, "top", 1), ("B", 0.6, "top", 1), ("b", 0.6, "top", 2)) == ["B"]
+
+
+def test_monotone():
+    assert S.monotone([(0.5, 1.0), (0.1, 1.0), (0.9, 2.0), (0.8, 2.0)]) == [0.3, 0.3, 0.8500000000000001, 0.8500000000000001] and S.monotone([]) == []

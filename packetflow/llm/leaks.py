@@ -11,8 +11,9 @@ all texts carries (counted over the whole corpus first), are left out of coverag
 count once however many documents repeat them, and a text that may carry a passage's share of own words is no evidence
 against that passage's windows, so neither copies nor frequent leaks make a passage standard.
 
-The passages are a stated query set; they are broadcast in blocks of bounded size, and documents never leave their
-partition: no text is shuffled and nothing is collected but the counts of passage windows.
+The passages are a stated query set; they are broadcast in blocks of bounded size. Each block reads the texts once; only
+those in which a window was seen are kept and tiled. No text is shuffled and nothing is collected but the counts of
+passage windows.
 
 Results for odd input: null and empty texts leak nothing; texts are read whole, however long; passages without own
 words cannot leak; an empty table on either side gives no rows; repeated rows give the same pair once.
@@ -134,9 +135,10 @@ def shared_windows(passages: list[str]) -> tuple[np.ndarray, np.ndarray]:
 
 
 def _sightings(documents: DataFrame, items, shared, threshold: float) -> DataFrame:
-    """(text, key, stray): windows of a block's passages in each text, and whether none of these passages may leak there.
+    """(doc_id, text, body, seen array<struct<key, stray>>): windows of a block's passages in each text, and whether none of
+    these passages may leak there; text is a code of the words, body the text itself where anything was seen.
 
-    What several passages share does not make a leak here, unless it is most of a passage. Each text has a row without key.
+    What several passages share does not make a leak here, unless it is most of a passage.
     """
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -148,11 +150,10 @@ def _sightings(documents: DataFrame, items, shared, threshold: float) -> DataFra
         usual, signed = np.isin(index.keys, standard), index.keys.view(np.int64).tolist()
         own = [s if 2 * s.sum() >= o.sum() else o for o, s in zip(index.own(standard), index.own(np.concatenate([standard, several])))]
         for b in batches:
-            out = []
+            names, bodies, seen = [], [], []
             for text in b.text:
                 codes = hasher.codes(words(text))
-                name = xxhash.xxh64_intdigest(codes.tobytes()) - 2**63
-                out.append((name, None, True))
+                names.append(xxhash.xxh64_intdigest(codes.tobytes()) - 2**63)
                 _, which = index.hits(hasher.windows(codes, SEED))
                 at = {k: index.where[index.first[k] : index.last[k]] for k in np.unique(which[~usual[which]]).tolist()}
                 starts: dict[int, set[int]] = defaultdict(set)
@@ -160,27 +161,30 @@ def _sightings(documents: DataFrame, items, shared, threshold: float) -> DataFra
                     for n, p in places:
                         starts[n].add(p)
                 leaked = {n for n, found in starts.items() if _may_leak(found, own[n], threshold)}
-                out += [(name, signed[k], not any(n in leaked for n, _ in places)) for k, places in at.items()]
-            yield pd.DataFrame({"text": [x[0] for x in out], "key": pd.array([x[1] for x in out], "Int64"), "stray": [x[2] for x in out]})
+                seen.append([{"key": signed[k], "stray": not any(n in leaked for n, _ in places)} for k, places in at.items()])
+                bodies.append(text if at else None)
+            yield pd.DataFrame({"doc_id": b.doc_id, "text": names, "body": bodies, "seen": seen})
 
-    return documents.select("text").filter("text <> ''").mapInPandas(run, "text bigint, key bigint, stray boolean")
+    return documents.select("doc_id", "text").filter("text <> ''").mapInPandas(run, "doc_id bigint, text bigint, body string, seen array<struct<key: bigint, stray: boolean>>")
 
 
-def frequent_windows(documents: DataFrame, blocks: list, shared, threshold: float) -> np.ndarray:
+def frequent_windows(sightings: list[DataFrame]) -> np.ndarray:
     """Windows that more than a set share of all different texts carries without leaking a passage."""
+    if not sightings:
+        return np.empty(0, np.uint64)
+    n_texts = sightings[0].select("text").distinct().count()
     seen = None
-    for items in blocks:
-        part = _sightings(documents, items, shared, threshold)
+    for part in sightings:
+        part = part.select("text", F.explode("seen").alias("s")).select("text", "s.key", "s.stray")
         seen = part if seen is None else seen.unionByName(part)
-    texts = seen.groupBy("text", "key").agg(F.bool_and("stray").alias("stray")).filter("stray")
-    counts = cut_lineage(texts.groupBy("key").agg(F.count("*").alias("n")))
-    n_texts = next((r.n for r in counts.filter("key is null").collect()), 0)
-    least = max(STANDARD_DOCUMENTS, STANDARD_SHARE * n_texts)
-    found = [r.key for r in counts.filter((F.col("n") >= least) & F.col("key").isNotNull()).collect()]  # windows of the passages
+    counts = seen.groupBy("text", "key").agg(F.bool_and("stray").alias("stray")).filter("stray").groupBy("key").agg(F.count("*").alias("n"))
+    found = [r.key for r in counts.filter(F.col("n") >= max(STANDARD_DOCUMENTS, STANDARD_SHARE * n_texts)).collect()]  # windows of the passages
     return np.array(found, np.int64).view(np.uint64)
 
 
-def _block_leaks(documents: DataFrame, items, standard, threshold: float) -> DataFrame:
+def _block_leaks(sightings: DataFrame, items, standard, threshold: float) -> DataFrame:
+    """Tiling of the texts in which windows of the block were seen."""
+
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         hasher = Hasher()
         index = Passages(items.value, hasher)
@@ -188,7 +192,7 @@ def _block_leaks(documents: DataFrame, items, standard, threshold: float) -> Dat
         own = index.own(standard.value)
         for b in batches:
             out = []
-            for doc_id, text in zip(b.doc_id, b.text):
+            for doc_id, text in zip(b.doc_id, b.body):
                 codes = hasher.codes(words(text))
                 at, which = index.hits(hasher.windows(codes, SEED))
                 rare = ~usual[which]
@@ -206,7 +210,7 @@ def _block_leaks(documents: DataFrame, items, standard, threshold: float) -> Dat
                         out.append((doc_id, index.ids[n], share))
             yield pd.DataFrame(out, columns=["doc_id", "item_id", "coverage"])
 
-    return documents.select("doc_id", "text").filter("text <> ''").mapInPandas(run, "doc_id bigint, item_id int, coverage double")
+    return sightings.filter("body is not null").select("doc_id", "body").mapInPandas(run, "doc_id bigint, item_id int, coverage double")
 
 
 def leaks(documents: DataFrame, eval_items: DataFrame, threshold: float = COVERAGE) -> DataFrame:
@@ -218,11 +222,13 @@ def leaks(documents: DataFrame, eval_items: DataFrame, threshold: float = COVERA
     found = None
     if blocks:
         standard, several = shared_windows([p for _, p in passages])
-        frequent = frequent_windows(documents, blocks, context.broadcast((standard, several)), threshold)
-        usual = context.broadcast(np.concatenate([standard, frequent]))
-    for items in blocks:
-        part = _block_leaks(documents, items, usual, threshold)
-        found = part if found is None else found.unionByName(part)
+        shared = context.broadcast((standard, several))
+        # One pass over all texts for each block; what follows reads only texts in which something was seen.
+        sightings = [cut_lineage(_sightings(documents, items, shared, threshold)) for items in blocks]
+        usual = context.broadcast(np.concatenate([standard, frequent_windows(sightings)]))
+        for items, seen in zip(blocks, sightings):
+            part = _block_leaks(seen, items, usual, threshold)
+            found = part if found is None else found.unionByName(part)
     if found is None:
         return documents.sparkSession.createDataFrame([], "doc_id bigint, item_id int, coverage double")
     return found.groupBy("doc_id", "item_id").agg(F.max("coverage").alias("coverage"))

@@ -4,13 +4,12 @@ from __future__ import annotations
 
 from pyspark.sql import Column, functions as F
 
-from packetflow.functions.text import blank_to_null, squeeze_upper, strip
+from packetflow.functions.text import blank_to_null, squeeze, squeeze_upper, strip
 
-#: Colour codes, answers, name suffixes, markers of a paid amount.
+#: Colour codes, answers, name suffixes.
 COLOR_CODES = {"GY": "GRAY", "GR": "GREEN", "BK": "BLACK", "BL": "BLUE", "WH": "WHITE", "RD": "RED", "SL": "SILVER", "SV": "SILVER", "GL": "GOLD", "BR": "BROWN", "TN": "TAN", "YL": "YELLOW", "OR": "ORANGE", "PU": "PURPLE", "PK": "PINK", "BG": "BEIGE", "CH": "CHARCOAL"}
 YES, NO = ("yes", "y", "true", "1", "x", "checked"), ("no", "n", "false", "0", "unchecked")
 NAME_SUFFIXES = ("JR", "SR", "II", "III", "IV", "ESQ")
-PAID_MARKERS = ("satisfied", "tax paid", "dealer paid", "already paid", "tax included", "paid by dealer", "remitted")
 
 
 def first_value(*columns: Column) -> Column:
@@ -24,9 +23,9 @@ def truthy(c: Column) -> Column:
 
 
 def expand_color(c: Column) -> Column:
-    v = squeeze_upper(c)
+    """The colour a code stands for, in any case; other texts as written, with single spaces."""
     codes = F.create_map(*[F.lit(x) for pair in COLOR_CODES.items() for x in pair])
-    return F.coalesce(codes[v], v)
+    return F.coalesce(codes[squeeze_upper(c)], squeeze(c))
 
 
 def normalize_vin(c: Column) -> Column:
@@ -44,16 +43,16 @@ def fixed(x: Column, digits: int) -> Column:
 
 
 def money_amount(c: Column) -> Column:
-    """The first number of a text without $ and commas; null when it says paid or is not above zero."""
-    text = strip(F.translate(c, "$,", ""))
-    n = F.nullif(F.regexp_extract(text, r"([0-9]+(?:\.[0-9]+)?)", 1), F.lit("")).cast("double")
-    return F.when(~F.lower(c).rlike("|".join(PAID_MARKERS)) & (n > 0), n)
+    """The first number of a text without $, commas and spaces; null when it is not above zero."""
+    n = F.nullif(F.regexp_extract(F.regexp_replace(c, r"[$,\s]", ""), r"([0-9]+(?:\.[0-9]+)?)", 1), F.lit("")).cast("double")
+    return F.when(n > 0, n)
 
 
 def currency_text(c: Column) -> Column:
-    """$ 1,234.50 for a number, other texts as they are; blank is null."""
+    """$ 1,234.50 for a number, with commas or without; other texts and those with a $ as they are; blank is null."""
     v = blank_to_null(c)
-    return F.when(v.startswith("$"), v).when(v.rlike(r"^[0-9]+(\.[0-9]+)?$"), F.concat(F.lit("$ "), F.format_number(v.try_cast("double"), 2))).otherwise(v)
+    digits = F.replace(v, F.lit(","))
+    return F.when(v.startswith("$"), v).when(digits.rlike(r"^[0-9]+(\.[0-9]+)?$"), F.concat(F.lit("$ "), F.format_number(digits.try_cast("double"), 2))).otherwise(v)
 
 
 def odometer_text(c: Column) -> Column:
@@ -63,9 +62,10 @@ def odometer_text(c: Column) -> Column:
 
 
 def last_name(c: Column) -> Column:
-    """The last word of a name that is not a suffix, upper case without trailing punctuation."""
-    words = F.transform(F.split(squeeze_upper(c), " "), lambda w: F.regexp_replace(w, "[.,]+$", ""))
-    return F.try_element_at(F.filter(words, lambda w: (w != "") & ~w.isin(*NAME_SUFFIXES)), F.lit(-1))
+    """The last word of a name, upper case, or the one before where it is a suffix; commas part words, a lone word stays."""
+    words = F.filter(F.split(squeeze_upper(F.translate(c, ",", " ")), " "), lambda w: w != "")
+    suffix = F.rtrim(F.try_element_at(words, F.lit(-1)), F.lit(".")).isin(*NAME_SUFFIXES)
+    return F.when((F.size(words) > 1) & suffix, F.try_element_at(words, F.lit(-2))).otherwise(F.try_element_at(words, F.lit(-1)))
 
 
 def date_parts(c: Column) -> Column:

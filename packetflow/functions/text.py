@@ -18,8 +18,13 @@ def blank_to_null(c: Column | str) -> Column:
     return F.nullif(strip(c), F.lit(""))
 
 
-def squeeze_upper(c: Column | str) -> Column:
-    """Upper case, stripped, runs of white space made one space."""
+def squeeze(c: Column | str) -> Column:
+    """Stripped, runs of white space made one space."""
     c = F.col(c) if isinstance(c, str) else c
     plain = F.translate(c, _SPACES, " " * len(_SPACES))
-    return F.upper(F.trim(F.when(plain.contains("  "), F.regexp_replace(plain, " +", " ")).otherwise(plain)))
+    return F.trim(F.when(plain.contains("  "), F.regexp_replace(plain, " +", " ")).otherwise(plain))
+
+
+def squeeze_upper(c: Column | str) -> Column:
+    """Squeezed, upper case."""
+    return F.upper(squeeze(c))

@@ -53,9 +53,9 @@ def plurality(counts: DataFrame) -> DataFrame:
     return ranked.groupBy(*KEYS).agg(F.max(F.when(F.col("rank") == 1, F.col("key"))).alias("consensus"), F.max(F.when(F.col("rank") == 1, F.col("n"))).alias("exact"), F.coalesce(F.max(F.when(F.col("rank") == 2, F.col("n"))), F.lit(0)).alias("second"))
 
 
-def compared(counts: DataFrame, chosen: DataFrame) -> DataFrame:
-    """Values beside the chosen consensus of their group, each exact, near or distant."""
-    both = counts.join(chosen.select(*KEYS, "consensus"), KEYS)
+def compared(counts: DataFrame, chosen: DataFrame, keep: list[str] | None = None) -> DataFrame:
+    """Values beside the chosen consensus of their group, each exact, near or distant; keep are further columns of chosen."""
+    both = counts.join(chosen.select(*KEYS, "consensus", *(keep or [])), KEYS)
     d = ratio(F.col("consensus"), F.col("key"))
     return both.withColumn("distance", d).withColumn("part", F.when(F.col("key") == F.col("consensus"), "exact").when(d <= NEAR, "near").otherwise("distant"))
 
@@ -66,16 +66,17 @@ def partition(counts: DataFrame, chosen: DataFrame) -> DataFrame:
     return compared(counts, chosen).groupBy(*KEYS).agg(n("exact"), n("near"), n("distant"))
 
 
-def scored(counts: DataFrame, chosen: DataFrame) -> DataFrame:
+def scored(counts: DataFrame, chosen: DataFrame, keep: list[str] | None = None) -> DataFrame:
     """packet_id, field_name, consensus, confidence (4 decimals), review_required.
 
     Confidence starts from the peak and mean of the readings that agree, is lowered by other pluralities and by near misses
     in proportion to their distance and weight, and raised a little by agreement; without agreement it is 0.6 of the best near miss.
     """
-    parts = compared(counts, chosen)
+    kept = keep or []
+    parts = compared(counts, chosen, kept)
     of = lambda p, c: F.coalesce(F.sum(F.when(F.col("part") == p, F.col(c))), F.lit(0))
     near_steps = F.coalesce(F.sum(F.when(F.col("part") == "near", F.round(F.col("distance") * F.col("n") * 1_000_000_000).cast("bigint"))), F.lit(0))
-    got = parts.groupBy(*KEYS, "consensus").agg(
+    got = parts.groupBy(*KEYS, "consensus", *kept).agg(
         of("exact", "n").alias("exact"), of("exact", "units").alias("exact_units"), F.max(F.when(F.col("part") == "exact", F.col("peak"))).alias("peak"),
         of("near", "n").alias("near"), of("near", "units").alias("near_units"), F.max(F.when(F.col("part") == "near", F.col("peak"))).alias("near_peak"), near_steps.alias("near_steps"),
         F.sum("n").alias("all"), F.sum("units").alias("all_units"), F.coalesce(F.max(F.when(F.col("part") != "exact", F.col("n"))), F.lit(0)).alias("second"),
@@ -90,7 +91,7 @@ def scored(counts: DataFrame, chosen: DataFrame) -> DataFrame:
     value = F.greatest(F.lit(0.0), F.least(F.lit(1.0), value))
     got = got.withColumn("c", value)
     review = c("consensus").isNull() | (c("c") < REVIEW_BELOW) | (c("exact") == 0) | (c("exact") <= c("second"))
-    return got.select(*KEYS, "consensus", fixed(c("c"), 4).cast("double").alias("confidence"), review.alias("review_required"))
+    return got.select(*KEYS, "consensus", *kept, fixed(c("c"), 4).cast("double").alias("confidence"), review.alias("review_required"))
 
 
 def vin_consensus(votes: DataFrame, field: str = "vehicle_vin") -> DataFrame:
@@ -102,16 +103,21 @@ def vin_consensus(votes: DataFrame, field: str = "vehicle_vin") -> DataFrame:
 
 
 def primary_source(votes: DataFrame) -> DataFrame:
-    """packet_id, field_name, value, confirmed: the surest reading of the field's primary document type, and whether another
-    type confirms it or none speaks."""
+    """packet_id, field_name, value, confirmed: see primary_readings."""
+    return primary_readings(votes).drop("spelling")
+
+
+def primary_readings(votes: DataFrame) -> DataFrame:
+    """packet_id, field_name, value, spelling, confirmed: the surest reading of the field's primary document type,
+    normalized and as written, and whether another type confirms it or none speaks."""
     first = F.create_map(*[F.lit(x) for pair in PRIMARY_SOURCE.items() for x in pair])
     rows = votes.withColumn("primary", first[F.col("field_name")]).filter("primary is not null").withColumn("is_primary", F.coalesce(F.col("doc_type") == F.col("primary"), F.lit(False)))
     norm = F.when(F.col("field_name") == "vehicle_vin", normalize_vin(F.col("value"))).otherwise(F.col("key"))
-    each = rows.withColumn("norm", norm).groupBy(*KEYS, "is_primary", "norm").agg(F.max(F.struct("units", (-F.col("variant_id")).alias("v"))).alias("top"))
-    best = each.filter("is_primary").groupBy(*KEYS).agg(F.max_by("norm", "top").alias("value"))
+    each = rows.withColumn("norm", norm).groupBy(*KEYS, "is_primary", "norm").agg(F.max(F.struct("units", (-F.col("variant_id")).alias("v"), "value")).alias("top"))
+    best = each.filter("is_primary").groupBy(*KEYS).agg(F.max_by(F.struct("norm", F.col("top.value").alias("spelling")), "top").alias("b")).select(*KEYS, F.col("b.norm").alias("value"), "b.spelling")
     others = each.filter("not is_primary").select(*KEYS, F.col("norm").alias("other"))
     confirms = F.when(F.col("field_name") == "vehicle_vin", F.col("other") == F.col("value")).otherwise(ratio(F.col("value"), F.col("other")) <= NEAR)
-    return best.join(others, KEYS, "left").groupBy(*KEYS, "value").agg(F.coalesce(F.max(confirms), F.lit(True)).alias("confirmed"))
+    return best.join(others, KEYS, "left").groupBy(*KEYS, "value", "spelling").agg(F.coalesce(F.max(confirms), F.lit(True)).alias("confirmed"))
 
 
 def _columns(center: str, other: str) -> list[tuple[int, str]]:

@@ -55,6 +55,48 @@ def q_record_values(spark: SparkSession, folder: str) -> DataFrame:
 
 QUERIES = {f.__name__: f for f in (q_record_counts, q_record_values, p1_found, p1_nodes, p2_found, p2_profile, p2_ranges, p2_frequencies, p2_stability)}
 
+_AT = lambda j, k: f"json_extract({j}, '/' || replace(replace({k}, '~', '~0'), '/', '~1'))"
+_ITEMS = lambda j: f"CASE WHEN {j} IS NULL OR json_type({j}) = 'NULL' THEN [] WHEN json_type({j}) = 'ARRAY' THEN json_extract({j}, '$[*]') ELSE [{j}] END"
+_NODES = f"""
+WITH RECURSIVE opened AS (
+  SELECT record_id, '' AS spot, json(ltrim(record_json, chr(65279))) AS j FROM consolidated_records WHERE json_valid(ltrim(record_json, chr(65279)))
+  UNION ALL
+  SELECT record_id, spot || '/' || CAST(x.i AS VARCHAR), x.j FROM (
+    SELECT record_id, spot, unnest(list_transform(inner_, lambda y, i: {{'i': i, 'j': y}})) AS x FROM (
+      SELECT record_id, spot, CASE
+        WHEN json_type(j) = 'VARCHAR' THEN CASE WHEN json_valid(ltrim(j ->> '$', chr(65279))) THEN [json(ltrim(j ->> '$', chr(65279)))] ELSE [] END
+        WHEN json_type(j) = 'ARRAY' THEN list_filter(json_extract(j, '$[*]'), lambda y: json_type(y) IN ('OBJECT', 'VARCHAR'))
+        WHEN json_type(j) = 'OBJECT' AND len(json_keys(j)) = 1 AND json_keys(j)[1] IN ('consolidated_data', 'record', 'record_json')
+          AND (json_type({_AT("j", "json_keys(j)[1]")}) = 'ARRAY' OR json_type({_AT("j", "json_keys(j)[1]")}) = 'OBJECT' AND NOT json_exists({_AT("j", "json_keys(j)[1]")}, '$.value')) THEN [{_AT("j", "json_keys(j)[1]")}]
+        ELSE [] END AS inner_
+      FROM opened))
+), records AS (
+  SELECT record_id, spot, j FROM opened
+  WHERE json_type(j) = 'OBJECT' AND NOT (len(json_keys(j)) = 1 AND json_keys(j)[1] IN ('consolidated_data', 'record', 'record_json')
+    AND (json_type({_AT("j", "json_keys(j)[1]")}) = 'ARRAY' OR json_type({_AT("j", "json_keys(j)[1]")}) = 'OBJECT' AND NOT json_exists({_AT("j", "json_keys(j)[1]")}, '$.value')))
+), walk AS (
+  SELECT record_id, spot, k AS path, '' AS parent, {_AT("j", "k")} AS node FROM (SELECT record_id, spot, j, unnest(json_keys(j)) AS k FROM records) WHERE k <> 'extra'
+  UNION ALL
+  SELECT record_id, spot, path || x.label, path, x.node FROM (
+    SELECT record_id, spot, path, unnest(CASE
+      WHEN json_type(node) = 'OBJECT' AND NOT json_exists(node, '$.value') THEN list_transform(json_keys(node), lambda k: {{'label': '.' || k, 'node': {_AT("node", "k")}}})
+      WHEN json_type(node) = 'ARRAY' THEN list_transform(json_extract(node, '$[*]'), lambda y, i: {{'label': '[' || CAST(i - 1 AS VARCHAR) || ']', 'node': y}})
+      ELSE [] END) AS x FROM walk)
+), fields AS (
+  SELECT record_id, path AS node_path, parent AS parent_path, node FROM walk WHERE json_type(node) = 'VARCHAR' OR json_type(node) = 'OBJECT' AND json_exists(node, '$.value')
+  QUALIFY row_number() OVER (PARTITION BY record_id, path ORDER BY spot) = 1
+), variants AS (
+  SELECT record_id, node_path, x.i - 1 AS item_no, x.j AS item FROM (
+    SELECT record_id, node_path, unnest(list_transform({_ITEMS("json_extract(node, '$.variants')")}, lambda y, i: {{'i': i, 'j': y}})) AS x FROM fields WHERE json_type(node) = 'OBJECT')
+  WHERE json_type(x.j) <> 'NULL'
+), documents AS (
+  SELECT record_id, 'extra.' || k AS node_path, {_AT("e", "k")} AS items FROM (SELECT record_id, spot, json_extract(j, '$.extra') AS e, unnest(json_keys(json_extract(j, '$.extra'))) AS k FROM records WHERE json_type(json_extract(j, '$.extra')) = 'OBJECT')
+  QUALIFY row_number() OVER (PARTITION BY record_id, k ORDER BY spot) = 1
+), extras AS (
+  SELECT record_id, node_path, x.i - 1 AS item_no, x.j AS item FROM (SELECT record_id, node_path, unnest(list_transform({_ITEMS("items")}, lambda y, i: {{'i': i, 'j': y}})) AS x FROM documents) WHERE json_type(x.j) <> 'NULL'
+), valued AS (
+  SELECT record_id, node_path, CASE WHEN json_type(node) = 'OBJECT' THEN json_extract_string(node, '$.value') ELSE node ->> '$' END AS value, json_type(node) = 'OBJECT' AND coalesce(json_type(json_extract(node, '$.review_required')) = 'BOOLEAN' AND json_extract_string(node, '$.review_required') = 'true', false) AS review_required FROM fields
+)"""
 _JUDGED = r"""
 WITH long AS (
   SELECT extraction_id, feed_id, load_no, load_id, u.field_name, nullif(regexp_replace(u.v, '^\s+|\s+$', '', 'g'), '') AS value
@@ -91,6 +133,20 @@ WITH long AS (
 """
 
 ORACLE = {
+    "p1_found": _NODES
+    + """ SELECT 'consolidated_records' AS source_table, record_id, node_path, -1 AS item_no FROM fields
+UNION SELECT 'consolidated_records', record_id, node_path, CAST(item_no AS INTEGER) FROM variants UNION SELECT 'consolidated_records', record_id, node_path, CAST(item_no AS INTEGER) FROM extras
+UNION SELECT 'extractions', extraction_id, 'extra', CAST(i - 1 AS INTEGER) FROM (SELECT extraction_id, unnest(extra) AS x, generate_subscripts(extra, 1) AS i FROM extractions) WHERE x IS NOT NULL""",
+    "q_record_counts": _NODES
+    + """, counted AS (
+  SELECT record_id, count(*) AS fields, count(*) FILTER (NOT review_required) AS accepted, 0 AS variants, 0 AS extra_items FROM valued GROUP BY record_id
+  UNION ALL SELECT record_id, 0, 0, count(*), 0 FROM variants GROUP BY record_id UNION ALL SELECT record_id, 0, 0, 0, count(*) FROM extras GROUP BY record_id)
+SELECT record_id, CAST(sum(fields) AS BIGINT) AS fields, CAST(sum(accepted) AS BIGINT) AS accepted, CAST(sum(variants) AS BIGINT) AS variants, CAST(sum(extra_items) AS BIGINT) AS extra_items FROM counted GROUP BY record_id""",
+    "q_record_values": _NODES
+    + """, picked AS (SELECT record_id, node_path, trim(value) AS v FROM valued WHERE trim(value) <> '')
+SELECT record_id, max(v) FILTER (node_path = 'vehicle_vin') AS vin, coalesce(max(v) FILTER (node_path = 'owner.full_name'), max(v) FILTER (node_path = 'owner.name'), max(v) FILTER (node_path = 'owner[0].full_name')) AS owner,
+  coalesce(max(v) FILTER (node_path = 'owner.address.city'), max(v) FILTER (node_path = 'lessee.address.city')) AS city, max(v) FILTER (node_path = 'lienholder.name') AS lienholder
+FROM picked WHERE node_path IN ('vehicle_vin', 'owner.full_name', 'owner.name', 'owner[0].full_name', 'owner.address.city', 'lessee.address.city', 'lienholder.name') GROUP BY record_id""",
     "p2_profile": _JUDGED
     + "SELECT field_name, feed_id, load_no, load_id, n_rows, filled, distinct_values, CAST(mode_n AS BIGINT) AS mode_n, good, round(median, 3) AS median FROM profile",
     "p2_ranges": _JUDGED

@@ -104,26 +104,32 @@ class Reliability:
     def moved(self, other: Reliability) -> float:
         return max((abs(x - other.of[k]) for k, x in self.of.items()), default=0.0)
 
-    def _look_up(self, numbers: dict[tuple[str, str], float], t: Column) -> Column:
-        return F.create_map(*[F.lit(x) for (f, name), n in sorted(numbers.items()) for x in (f"{f}\t{name}", float(n))])[F.concat_ws("\t", "field_name", t["type"])]
+    def _of_types(self, numbers: dict[tuple[str, str], float]) -> Column:
+        """map<type, number> of the row's field."""
+        by_field = {f: F.create_map(*[F.lit(x) for (g, t), n in sorted(numbers.items()) if g == f for x in (t, float(n))]) for f in sorted({f for f, _ in numbers})}
+        return F.create_map(*[x for f, m in by_field.items() for x in (F.lit(f), m)])[F.col("field_name")]
 
-    def support(self) -> Column:
-        """array<struct<level, votes>> of a value, highest level first."""
+    def support(self, values: DataFrame) -> DataFrame:
+        """values with support array<struct<level, votes>>, highest level first."""
         if not self.of:
-            return F.lit(None).cast("array<struct<level:struct<a:double,b:double,c:double>,votes:double>>")
+            return values.withColumn("support", F.lit(None).cast("array<struct<level:struct<a:double,b:double,c:double>,votes:double>>"))
+        rows = values.withColumns({"weights": self._of_types(self.of), "places": self._of_types(self.place)})
         field, value = F.col("field_name"), F.col("value_norm")
-        full = F.size(F.filter(F.split(value, " "), lambda w: F.length(F.regexp_replace(w, "[^A-Z0-9]", "")) >= 2)).cast("double")
         zero = F.lit(0.0)
+        full = F.when(field.isin(*NAME_FIELDS), F.size(F.filter(F.split(value, " "), lambda w: F.length(F.regexp_replace(w, "[^A-Z0-9]", "")) >= 2)).cast("double")).otherwise(zero)
+        rows = rows.withColumns({"full": full, "chars": F.when(field.isin(*NAME_FIELDS), F.length(value).cast("double")).otherwise(zero)})
 
         def level(t: Column) -> Column:
-            first = F.when(field.isin(*TRUST_FIELDS), self._look_up(self.place, t)).when(field.isin(*DATE_FIELDS), F.coalesce(t["day"].cast("double"), F.lit(-1.0))).when(field.isin(*NAME_FIELDS), (t["surest"] >= round(WELL_READ * _UNIT)).cast("double")).otherwise(zero)
-            of_name = lambda x: F.when(field.isin(*NAME_FIELDS), x).otherwise(zero)
-            return F.struct(first.alias("a"), of_name(full).alias("b"), of_name(F.length(value).cast("double")).alias("c"))
+            first = F.when(field.isin(*TRUST_FIELDS), F.col("places")[t["type"]]).when(field.isin(*DATE_FIELDS), F.coalesce(t["day"].cast("double"), F.lit(-1.0))).when(field.isin(*NAME_FIELDS), (t["surest"] >= round(WELL_READ * _UNIT)).cast("double")).otherwise(zero)
+            return F.struct(first.alias("a"), F.col("full").alias("b"), F.col("chars").alias("c"))
 
-        votes = F.transform("types", lambda t: F.struct(level(t).alias("level"), (t["units"] / _UNIT * self._look_up(self.of, t)).alias("votes")))
-        votes = F.filter(votes, lambda v: v["votes"] > 0)
-        levels = F.array_sort(F.array_distinct(F.transform(votes, lambda v: v["level"])))
-        return F.reverse(F.transform(levels, lambda x: F.struct(x.alias("level"), F.aggregate(F.filter(votes, lambda v: v["level"] == x), zero, lambda a, v: a + v["votes"]).alias("votes"))))
+        rows = rows.withColumn("each", F.transform("types", lambda t: F.struct(level(t).alias("level"), (t["units"] / _UNIT * F.col("weights")[t["type"]]).alias("votes"))))
+        voting = F.filter("each", lambda v: v["votes"] > 0)
+        levels = F.array_sort(F.array_distinct(F.transform(voting, lambda v: v["level"])))
+        summed = F.reverse(F.transform(levels, lambda x: F.struct(x.alias("level"), F.aggregate(F.filter(voting, lambda v: v["level"] == x), zero, lambda a, v: a + v["votes"]).alias("votes"))))
+        # Most values have one reading, or several of one level: nothing to sort.
+        support = F.when(F.size("each") == 1, voting).otherwise(summed)
+        return rows.withColumn("support", support).drop("weights", "places", "full", "chars", "each")
 
 
 def reliabilities(values: DataFrame) -> tuple[Reliability, list[float]]:
@@ -132,7 +138,7 @@ def reliabilities(values: DataFrame) -> tuple[Reliability, list[float]]:
     given = {(r.field_name, r.type): (r.given, r.trust) for r in values.select("field_name", t).groupBy("field_name", "t.type").agg(F.sum("t.units").alias("given"), F.max("t.trust").alias("trust")).collect()}  # types x fields
     now, moves = Reliability(given), []
     while given:
-        best = values.groupBy("packet_id", "field_name").agg(F.max(F.struct(now.support().alias("support"), "value_norm", "types")).alias("best"))
+        best = now.support(values).groupBy("packet_id", "field_name").agg(F.max(F.struct("support", "value_norm", "types")).alias("best"))
         won = {(r.field_name, r.type): r.won for r in best.select("field_name", F.explode("best.types").alias("t")).groupBy("field_name", "t.type").agg(F.sum("t.units").alias("won")).collect()}  # types x fields
         last, now = now, Reliability(given, won, now if len(moves) >= DAMPED else None)
         moves.append(now.moved(last))
@@ -147,7 +153,7 @@ def survivors(variants: DataFrame, document_types: DataFrame) -> DataFrame:
     """(packet_id, field_name, value_norm, votes, n_values): the surviving value of every packet and field that has one."""
     values = cut_lineage(readings(variants, document_types))
     reliability, _ = reliabilities(values)
-    ranked = values.select("packet_id", "field_name", F.struct(reliability.support().alias("support"), "value_norm").alias("x"))
+    ranked = reliability.support(values).select("packet_id", "field_name", F.struct("support", "value_norm").alias("x"))
     best = ranked.groupBy("packet_id", "field_name").agg(F.max("x").alias("x"), F.count("*").alias("n_values"))
     votes = F.aggregate("x.support", F.lit(0.0), lambda a, s: a + s["votes"])
     return best.select("packet_id", "field_name", "x.value_norm", votes.alias("votes"), "n_values")

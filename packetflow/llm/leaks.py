@@ -152,7 +152,7 @@ def _sightings(documents: DataFrame, items, shared, threshold: float) -> DataFra
         for b in batches:
             names, bodies, seen = [], [], []
             for text in b.text:
-                codes = hasher.codes(words(text))
+                codes = hasher.read(text)
                 names.append(xxhash.xxh64_intdigest(codes.tobytes()) - 2**63)
                 _, which = index.hits(hasher.windows(codes, SEED))
                 at = {k: index.where[index.first[k] : index.last[k]] for k in np.unique(which[~usual[which]]).tolist()}
@@ -193,7 +193,7 @@ def _block_leaks(sightings: DataFrame, items, standard, threshold: float) -> Dat
         for b in batches:
             out = []
             for doc_id, text in zip(b.doc_id, b.body):
-                codes = hasher.codes(words(text))
+                codes = hasher.read(text)
                 at, which = index.hits(hasher.windows(codes, SEED))
                 rare = ~usual[which]
                 if not rare.any():

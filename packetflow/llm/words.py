@@ -36,6 +36,7 @@ class Hasher:
 
     def __init__(self, most: int = 200_000):
         self.known: dict[str, int] = {}
+        self.written: dict[str, int] = {}
         self.most = most
 
     def codes(self, tokens: list[str]) -> np.ndarray:
@@ -51,6 +52,20 @@ class Hasher:
             out.append(c)
         return np.array(out, dtype=np.uint64)
 
+    def read(self, text: str) -> np.ndarray:
+        """Codes of a text's words: a word seen before is neither folded nor hashed again."""
+        import xxhash
+
+        written = self.written
+        if len(written) > self.most:
+            written.clear()
+        out = []
+        for w in _WORD.findall(plain(text or "")):
+            if (c := written.get(w)) is None:
+                c = written[w] = xxhash.xxh64_intdigest(folded(w))
+            out.append(c)
+        return np.array(out, dtype=np.uint64)
+
     def windows(self, codes: np.ndarray, k: int) -> np.ndarray:
         """Karp-Rabin codes of all windows of k words, modulo 2**64."""
         n = len(codes) - k + 1

@@ -76,6 +76,23 @@ def test_places(spark):
     assert (1, "owner", 4, "lessee") not in found and len(found) == 6  # 1 and 4 are written alike
 
 
+def test_crowded_tokens_find_the_same(spark):
+    """Splitting a token by what else must agree links what comparing its members links."""
+    rng = random.Random(4)
+    towns = ["".join(rng.choice("bcdfglmnrst") + rng.choice("aeiou") for _ in range(4)).upper() for _ in range(40)]
+    rows = [(k, "MAIN", t, f"{10000 + 7 * i}") for i, t in enumerate(towns) for k in ("12", "14")] + [("12", "MAIN", t[:2] + "X" + t[3:], "") for t in towns[:15]] + [("12", "MAIN", "", f"{10000 + 7 * i}") for i in range(15, 25)] + [("12", "MAIM", towns[3], "10021"), ("12", "MAIN", "", ""), ("16", "ELM", "DOVER", "07801"), ("16", "ELM", "DOVRE", ""), ("16", "ELM", "", ""), ("BOX 9", "", "DOVER", ""), ("BOX 9", "", "DOVER", "07801")]
+    df = spark.createDataFrame([(i, 1, 1, n, "", name, "STREET" if name else "", c, "", z) for i, (n, name, c, z) in enumerate(rows)], "id bigint, n bigint, n_name bigint, number string, direction string, name string, kind string, city string, state string, zip string")
+    groups = lambda crowd: sorted(map(tuple, map(sorted, _sets(clusters([(r.a, r.b) for r in P.location_links(df, crowd).collect()], range(len(rows)))))))
+    assert groups(2) == groups(10_000) and max(map(len, groups(2))) == 3
+
+
+def _sets(labels):
+    found = {}
+    for k, v in labels.items():
+        found.setdefault(v, []).append(k)
+    return found.values()
+
+
 def test_no_places(spark):
     assert place_pairs(spark, (1, 1, {})) == set()
     assert P.found_places(extractions(spark, (1, 1, {})).limit(0)).count() == 0

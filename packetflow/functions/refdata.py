@@ -11,10 +11,13 @@ DOCUMENT_TYPES = (
 )
 #: How pages of a type are repaired; all other types go the default way.
 EMBEDDED_CARD_TYPES = ("driver_license",)
-DEFAULT_MODE_TYPES = ("insurance_card", "other")
+FULL_PAGE_TYPES = (
+    "cover_letter", "universal_title_application", "vehicle_registration_application", "dealership_supplemental_title_form", "manufacturer_certificate", "retail_certificate_of_sale", "odometer_disclosure",
+    "limited_power_of_attorney", "lease_agreement", "dealer_invoice", "check_payment", "lessor_lender_paperwork",
+)
 #: Types that get no extraction, and no place in the output packet, in debug runs.
-SKIP_EXTRACT = DOCUMENT_TYPES[:3]
-SKIP_APPEND = DOCUMENT_TYPES[:4]
+SKIP_EXTRACT = ("cover_letter", "universal_title_application", "vehicle_registration_application")
+SKIP_APPEND = ("cover_letter", "universal_title_application", "vehicle_registration_application", "dealership_supplemental_title_form")
 #: The type whose reading of a field comes first.
 PRIMARY_SOURCE = {"vehicle_vin": "manufacturer_certificate", "vehicle_year": "manufacturer_certificate", "vehicle_make": "manufacturer_certificate", "purchase_price": "dealer_invoice"}
 OWNER_EXCLUDED_TYPES = ("driver_license", "insurance_card", "other", "check_payment")
@@ -69,7 +72,7 @@ def entity_fields() -> list[tuple[str, str, bool]]:
 def preprocess_mode(document_type: str | None) -> str:
     if document_type in EMBEDDED_CARD_TYPES:
         return "embedded_card"
-    return "full_page_form" if document_type in DOCUMENT_TYPES and document_type not in DEFAULT_MODE_TYPES else "default"
+    return "full_page_form" if document_type in FULL_PAGE_TYPES else "default"
 
 
 def dimension(spark: SparkSession, rows: list[tuple], schema: str) -> DataFrame:

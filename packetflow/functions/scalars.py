@@ -6,10 +6,11 @@ from pyspark.sql import Column, functions as F
 
 from packetflow.functions.text import blank_to_null, squeeze, squeeze_upper, strip
 
-#: Colour codes, answers, name suffixes.
+#: Colour codes, answers, name suffixes, words in place of an amount.
 COLOR_CODES = {"GY": "GRAY", "GR": "GREEN", "BK": "BLACK", "BL": "BLUE", "WH": "WHITE", "RD": "RED", "SL": "SILVER", "SV": "SILVER", "GL": "GOLD", "BR": "BROWN", "TN": "TAN", "YL": "YELLOW", "OR": "ORANGE", "PU": "PURPLE", "PK": "PINK", "BG": "BEIGE", "CH": "CHARCOAL"}
 YES, NO = ("yes", "y", "true", "1", "x", "checked"), ("no", "n", "false", "0", "unchecked")
 NAME_SUFFIXES = ("JR", "SR", "II", "III", "IV", "ESQ")
+PAID_MARKERS = ("satisfied", "tax paid", "dealer paid", "already paid", "tax included", "paid by dealer", "remitted")
 
 
 def first_value(*columns: Column) -> Column:
@@ -43,9 +44,9 @@ def fixed(x: Column, digits: int) -> Column:
 
 
 def money_amount(c: Column) -> Column:
-    """The first number of a text without $, commas and spaces; null when it is not above zero."""
+    """The first number of a text without $, commas and spaces; null when it says paid or is not above zero."""
     n = F.nullif(F.regexp_extract(F.regexp_replace(c, r"[$,\s]", ""), r"([0-9]+(?:\.[0-9]+)?)", 1), F.lit("")).cast("double")
-    return F.when(n > 0, n)
+    return F.when(~F.lower(c).rlike("|".join(PAID_MARKERS)) & (n > 0), n)
 
 
 def currency_text(c: Column) -> Column:

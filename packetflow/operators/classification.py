@@ -12,10 +12,10 @@ from collections.abc import Iterator
 import pandas as pd
 from pyspark.sql import Column, DataFrame, functions as F
 
-from packetflow.functions.refdata import preprocess_mode, DOCUMENT_TYPES
+from packetflow.functions.refdata import DOCUMENT_TYPES, SKIP_APPEND, SKIP_EXTRACT, preprocess_mode
 
 #: Names of separator sheets.
-BLANK_NAMES = r"(?i)\b(blank|separator|seperator|empty page|empty|divider|unused|no content|intentionally blank)\b"
+BLANK_NAMES = r"(?i)\b(blank|separator|seperator|empty\s+page|empty|divider|unused|no\s+content|intentionally\s+blank)\b"
 _NO_PAGES = "array<int>"
 
 
@@ -161,3 +161,20 @@ def excluded(documents_: DataFrame, skip: tuple[str, ...]) -> DataFrame:
 def processable(documents_: DataFrame, skip: tuple[str, ...]) -> DataFrame:
     """Documents of no skipped type; a null type is processed."""
     return documents_.filter(F.coalesce(~F.col("doc_type").isin(*skip), F.lit(True)))
+
+
+def exclusion_reason(document_type: Column) -> Column:
+    """Why a type is left out of debug runs: the pipeline writes such papers itself; null for others."""
+    by_type = {t: f"{t.replace('_', ' ')}: written by the pipeline, no input" + ("" if t in SKIP_EXTRACT else "; read, not appended") for t in SKIP_APPEND}
+    return F.create_map(*[F.lit(x) for pair in by_type.items() for x in pair])[document_type]
+
+
+def exclusions(documents_: DataFrame) -> DataFrame:
+    """Documents left out of debug runs, with the reason."""
+    return documents_.withColumn("reason", exclusion_reason(F.col("doc_type"))).filter("reason is not null")
+
+
+def file_types(packets: DataFrame) -> DataFrame:
+    """packet_id, file_name, doc_type: which type the file of a document holds."""
+    typed = packets.select("packet_id", F.posexplode(F.filter("classified", lambda d: d.isNotNull())).alias("doc_ord", "d")).select("packet_id", "doc_ord", F.col("d.type").alias("doc_type"))
+    return unique_file_names(packets).join(typed, ["packet_id", "doc_ord"]).select("packet_id", "file_name", "doc_type")

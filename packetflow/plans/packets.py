@@ -4,9 +4,11 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
-from packetflow.functions.refdata import DEFAULT_MODE_TYPES, DOCUMENT_TYPES, EMBEDDED_CARD_TYPES, SKIP_APPEND, SKIP_EXTRACT
+from packetflow.functions.refdata import EMBEDDED_CARD_TYPES, FULL_PAGE_TYPES, SKIP_APPEND, SKIP_EXTRACT
 from packetflow.functions.scalars import backoff_seconds
 from packetflow.operators import assembly, chunks, classification as C, runs
+from packetflow.operators import reports
+from packetflow.sources import providers, schemas
 from packetflow.sources.tables import table
 
 
@@ -55,6 +57,47 @@ def q_unique_file_names(spark: SparkSession, folder: str) -> DataFrame:
     return C.unique_file_names(table(spark, folder, "packets"))
 
 
+def q_file_types(spark: SparkSession, folder: str) -> DataFrame:
+    return C.file_types(table(spark, folder, "packets"))
+
+
+def q_exclusions(spark: SparkSession, folder: str) -> DataFrame:
+    """Documents left out of debug runs, with the reason."""
+    return C.exclusions(C.documents(table(spark, folder, "packets"))).select("packet_id", "doc_ord", "doc_type", "reason")
+
+
+def q_prompts(spark: SparkSession, folder: str) -> DataFrame:
+    """What is asked of a model for every document without an extraction."""
+    packets = table(spark, folder, "packets")
+    missing = assembly.unextracted(packets, table(spark, folder, "extractions"), SKIP_EXTRACT)
+    asked = schemas.prompts(missing.join(packets.select("packet_id", "pdf_path"), "packet_id"))
+    return asked.select("packet_id", "doc_ord", "doc_type", F.length("prompt").cast("bigint").alias("prompt_chars"), F.contains("prompt", F.lit("not known")).alias("open_type"))
+
+
+def q_usage_parsed(spark: SparkSession, folder: str) -> DataFrame:
+    """Events as model calls whose usage comes in two shapes of JSON, one of them without its total at times."""
+    e = table(spark, folder, "events")
+    tokens, made, cached = F.round(F.col("value") * 1000).cast("bigint"), F.col("event_id") % 900, F.col("event_id") % 5000
+    one = F.to_json(F.struct(tokens.alias("input_tokens"), made.alias("output_tokens"), (tokens + made).alias("total_tokens"), F.struct(cached.alias("cached_tokens")).alias("input_tokens_details")))
+    other = F.to_json(F.struct(tokens.alias("prompt_token_count"), made.alias("candidates_token_count"), F.when(F.col("event_id") % 4 == 0, tokens + made + 1).alias("total_token_count"), cached.alias("cached_content_token_count")))
+    parsed = providers.usage(F.when(F.col("event_id") % 2 == 0, other).when(F.col("event_id") % 5 != 0, one), F.col("event_type"))
+    return e.select("event_id", parsed.alias("u")).select("event_id", "u.*")
+
+
+def q_usage_text(spark: SparkSession, folder: str) -> DataFrame:
+    """Usage totals as the line a report prints."""
+    t = q_usage_totals(spark, folder)
+    return t.select("event_type", reports.usage_text(F.col("input_tokens"), F.col("output_tokens"), F.col("input_tokens") + F.col("output_tokens"), F.col("cached_tokens"), F.col("model")).alias("line"))
+
+
+def q_exclusion_lines(spark: SparkSession, folder: str) -> DataFrame:
+    return reports.exclusion_lines(table(spark, folder, "packets"))
+
+
+def q_report_lines(spark: SparkSession, folder: str) -> DataFrame:
+    return reports.packet_lines(table(spark, folder, "packets"))
+
+
 def q_excluded(spark: SparkSession, folder: str) -> DataFrame:
     return C.excluded(C.documents(table(spark, folder, "packets")), SKIP_EXTRACT).select("packet_id", "doc_ord", "doc_type")
 
@@ -110,9 +153,10 @@ def q_unextracted(spark: SparkSession, folder: str) -> DataFrame:
     return assembly.unextracted(table(spark, folder, "packets"), table(spark, folder, "extractions"), SKIP_EXTRACT).select("packet_id", "doc_ord", "doc_type")
 
 
-QUERIES = {f.__name__: f for f in (q_split_plan, q_packet_parts, q_unextracted, q_normalized, q_documents, q_page_coverage, q_contiguity, q_validity, q_recovery_targets, q_recovered_pages, q_file_names, q_unique_file_names, q_excluded, q_processable, q_appendable, q_pending_packets, q_run_summary, q_shared_stems, q_usage_totals, q_backoff, q_upload_chunks)}
+QUERIES = {f.__name__: f for f in (q_split_plan, q_packet_parts, q_unextracted, q_normalized, q_documents, q_page_coverage, q_contiguity, q_validity, q_recovery_targets, q_recovered_pages, q_file_names, q_unique_file_names, q_file_types, q_exclusions, q_prompts, q_usage_parsed, q_usage_text, q_report_lines, q_exclusion_lines, q_excluded, q_processable, q_appendable, q_pending_packets, q_run_summary, q_shared_stems, q_usage_totals, q_backoff, q_upload_chunks)}
 
-_BLANK = "regexp_matches(coalesce(d.name, ''), '\\b(blank|separator|seperator|empty page|empty|divider|unused|no content|intentionally blank)\\b', 'i')"
+_BLANK = "regexp_matches(coalesce(d.name, ''), '\\b(blank|separator|seperator|empty\\s+page|empty|divider|unused|no\\s+content|intentionally\\s+blank)\\b', 'i')"
+_list = lambda names: ", ".join(f"'{n}'" for n in names)
 _DOCS = """
 WITH docs AS (
   SELECT packet_id, CAST(ord - 1 AS INTEGER) AS doc_ord, d.id AS doc_id, d.name AS doc_name, d.type AS doc_type, list_sort(list_filter(coalesce(d.pages, []), lambda p: p IS NOT NULL)) AS pages, d
@@ -139,17 +183,50 @@ _COVER = (
   GROUP BY ALL
 )"""
 )
-_TYPES = ", ".join(f"'{t}'" for t in DOCUMENT_TYPES)
-_list = lambda names: ", ".join(f"'{n}'" for n in names)
+
+_FILE_NAME = r"""coalesce(nullif(substr(regexp_replace(trim(regexp_replace(replace(strip_accents(doc_name), chr(160), ' '), '[^A-Za-z0-9_\s\-().]', '', 'g'), E' \t\n\r'), '\s+', '_', 'g'), 1, 120), ''), 'document')"""
+_NAMED = (
+    _DOCS.replace("WITH docs", "WITH RECURSIVE docs", 1)
+    + f""", bases AS (SELECT packet_id, doc_ord, doc_type, {_FILE_NAME} AS base, row_number() OVER (PARTITION BY packet_id ORDER BY doc_ord) AS k FROM docs
+), given AS (
+  SELECT packet_id, k, base AS file_name, [base] AS used FROM bases WHERE k = 1
+  UNION ALL
+  SELECT packet_id, k, file_name, list_append(used, file_name) FROM (
+    SELECT b.packet_id, b.k, g.used, list_filter(list_transform(range(1, len(g.used) + 2), lambda n: CASE WHEN n = 1 THEN b.base ELSE b.base || '_' || CAST(n AS VARCHAR) END), lambda t: NOT list_contains(g.used, t))[1] AS file_name
+    FROM given g JOIN bases b ON b.packet_id = g.packet_id AND b.k = g.k + 1)
+), named AS (SELECT packet_id, doc_ord, CAST(k - 1 AS INTEGER) AS at_, doc_type, file_name FROM bases JOIN given USING (packet_id, k))"""
+)
+_USAGE = """WITH calls AS (SELECT event_type, event_id AS ord, CAST(round(value * 1000) AS BIGINT) AS input_tokens, event_id % 5000 AS cached_tokens, event_id % 900 AS output_tokens, CASE WHEN event_id % 7 <> 0 THEN 'm' || CAST(event_id % 5 AS VARCHAR) END AS model FROM events
+), totals AS (SELECT event_type, CAST(sum(input_tokens) AS BIGINT) AS input_tokens, CAST(sum(least(cached_tokens, input_tokens)) AS BIGINT) AS cached_tokens, CAST(sum(output_tokens) AS BIGINT) AS output_tokens, arg_min(model, ord) FILTER (model IS NOT NULL) AS model FROM calls GROUP BY event_type)"""
 
 ORACLE = {
+    "q_unique_file_names": _NAMED + " SELECT packet_id, at_ AS doc_ord, file_name FROM named",
+    "q_file_types": _NAMED + " SELECT packet_id, file_name, doc_type FROM named",
+    "q_packet_parts": _NAMED
+    + f""" SELECT packet_id, CAST(i - 1 AS INTEGER) AS ord, part FROM (SELECT packet_id, unnest(['cover', 'application', 'registration', 'ownership']) AS part, unnest([1, 2, 3, 4]) AS i FROM packets)
+UNION ALL SELECT packet_id, CAST(at_ + 4 AS INTEGER), file_name FROM named WHERE doc_type IS NULL OR doc_type NOT IN ({_list(SKIP_APPEND)})""",
+    "q_exclusions": _DOCS + f" SELECT packet_id, doc_ord, doc_type, replace(doc_type, '_', ' ') || ': written by the pipeline, no input' || CASE WHEN doc_type IN ({_list(SKIP_EXTRACT)}) THEN '' ELSE '; read, not appended' END AS reason FROM docs WHERE doc_type IN ({_list(SKIP_APPEND)})",
+    "q_usage_parsed": """WITH calls AS (SELECT event_id, event_type AS model, CAST(round(value * 1000) AS BIGINT) AS t, event_id % 900 AS o, event_id % 5000 AS c FROM events)
+SELECT event_id, model, CASE WHEN event_id % 2 = 1 AND event_id % 5 = 0 THEN 0 ELSE t END AS input_tokens, CASE WHEN event_id % 2 = 1 AND event_id % 5 = 0 THEN 0 ELSE o END AS output_tokens, CASE WHEN event_id % 2 = 1 AND event_id % 5 = 0 THEN 0 ELSE c END AS cached_tokens,
+  CASE WHEN event_id % 2 = 1 AND event_id % 5 = 0 THEN 0 WHEN event_id % 4 = 0 THEN t + o + 1 ELSE t + o END AS total_tokens FROM calls""",
+    "q_report_lines": _COVER
+    + """, spelled AS (
+  SELECT packet_id, 1 AS line_no, 'Page coverage: ' || CAST(total_pages - CASE WHEN missing = '' THEN 0 ELSE len(string_split(missing, ',')) END AS VARCHAR) || '/' || CAST(total_pages AS VARCHAR) || ' pages accounted for' AS line FROM cover JOIN packets USING (packet_id) WHERE total_pages >= 0
+  UNION ALL SELECT packet_id, 2, '  Missing pages: ' || replace(missing, ',', ', ') FROM cover WHERE missing <> ''
+  UNION ALL SELECT packet_id, 3, '  Duplicate pages: ' || replace(duplicate, ',', ', ') FROM cover WHERE duplicate <> ''
+  UNION ALL SELECT packet_id, 4, '  Invalid pages: ' || replace(invalid, ',', ', ') FROM cover WHERE invalid <> ''
+  UNION ALL SELECT packet_id, 5, '  All pages are uniquely covered.' FROM cover WHERE is_complete
+  UNION ALL SELECT packet_id, 6, CASE WHEN packet_id IN (SELECT packet_id FROM conflicts) THEN 'Document contiguity issues:' ELSE 'Document contiguity: all documents have valid page grouping.' END FROM packets
+  UNION ALL SELECT c.packet_id, 7 + c.doc_ord, '  - [' || coalesce(c.doc_id, '') || '] ' || coalesce(d.doc_name, '') || ' (pages=' || array_to_string(d.pages, ', ') || ') spans other documents on pages: ' || replace(c.conflicting, ',', ', ')
+    FROM conflicts c JOIN docs d ON d.packet_id = c.packet_id AND d.doc_ord = c.doc_ord
+) SELECT packet_id, CAST(line_no AS INTEGER) AS line_no, line FROM spelled""",
     "q_normalized": _DOCS
     + f""", blank AS (SELECT packet_id, unnest(pages) AS page FROM docs WHERE {_BLANK}
 ), gone AS (SELECT packet_id, string_agg(CAST(page AS VARCHAR), ',' ORDER BY page) AS empty_pages FROM (SELECT packet_id, page FROM blank UNION SELECT packet_id, page FROM empties WHERE page IS NOT NULL) GROUP BY packet_id
 ), kept AS (SELECT packet_id, count(*) AS n_documents FROM docs WHERE NOT {_BLANK} GROUP BY packet_id)
 SELECT packet_id, coalesce(n_documents, 0) AS n_documents, coalesce(g.empty_pages, '') AS empty_pages FROM packets LEFT JOIN kept USING (packet_id) LEFT JOIN gone g USING (packet_id)""",
     "q_documents": _DOCS
-    + f""" SELECT packet_id, doc_ord, doc_id, doc_type, CASE WHEN doc_type IN ({_list(EMBEDDED_CARD_TYPES)}) THEN 'embedded_card' WHEN doc_type IN ({_TYPES}) AND doc_type NOT IN ({_list(DEFAULT_MODE_TYPES)}) THEN 'full_page_form' ELSE 'default' END AS mode, len(pages) AS n_pages, {_BLANK} AS is_blank_name FROM docs""",
+    + f""" SELECT packet_id, doc_ord, doc_id, doc_type, CASE WHEN doc_type IN ({_list(EMBEDDED_CARD_TYPES)}) THEN 'embedded_card' WHEN doc_type IN ({_list(FULL_PAGE_TYPES)}) THEN 'full_page_form' ELSE 'default' END AS mode, len(pages) AS n_pages, {_BLANK} AS is_blank_name FROM docs""",
     "q_page_coverage": _COVER + " SELECT * FROM cover",
     "q_contiguity": _COVER + " SELECT * FROM conflicts",
     "q_validity": _COVER + " SELECT packet_id, is_complete, packet_id NOT IN (SELECT packet_id FROM conflicts) AS is_contiguous, is_complete AND packet_id NOT IN (SELECT packet_id FROM conflicts) AS is_valid FROM cover",
@@ -176,8 +253,14 @@ SELECT packet_id, doc_ord, CASE WHEN outside THEN 'failed' WHEN len(kept) = 0 TH
     "q_pending_packets": r"SELECT packet_id, regexp_extract(pdf_path, '([^/]+?)(?:\.[^./]*)?$', 1) AS path_stem FROM packets p WHERE lower(pdf_path) LIKE '%.pdf' AND NOT EXISTS (SELECT 1 FROM consolidated_records c WHERE c.packet_id = p.packet_id)",
     "q_run_summary": "SELECT coalesce(run_status, 'unknown') AS run_status, count(*) AS packets, CAST(coalesce(sum(total_pages), 0) AS BIGINT) AS pages, count(run_error) AS with_error FROM packets GROUP BY 1",
     "q_shared_stems": r"SELECT regexp_extract(pdf_path, '([^/]+?)(?:\.[^./]*)?$', 1) AS path_stem, count(DISTINCT pdf_path) AS paths FROM packets WHERE pdf_path IS NOT NULL GROUP BY 1 HAVING count(DISTINCT pdf_path) > 1",
-    "q_usage_totals": """WITH calls AS (SELECT event_type, event_id AS ord, CAST(round(value * 1000) AS BIGINT) AS input_tokens, event_id % 5000 AS cached_tokens, event_id % 900 AS output_tokens, CASE WHEN event_id % 7 <> 0 THEN 'm' || CAST(event_id % 5 AS VARCHAR) END AS model FROM events)
-SELECT event_type, CAST(sum(input_tokens) AS BIGINT) AS input_tokens, CAST(sum(least(cached_tokens, input_tokens)) AS BIGINT) AS cached_tokens, CAST(sum(output_tokens) AS BIGINT) AS output_tokens, arg_min(model, ord) FILTER (model IS NOT NULL) AS model FROM calls GROUP BY event_type""",
+    "q_usage_totals": _USAGE + " SELECT * FROM totals",
+    "q_usage_text": _USAGE
+    + """ SELECT event_type, format('{:,}', input_tokens) || ' input, ' || format('{:,}', output_tokens) || ' output, ' || format('{:,}', input_tokens + output_tokens) || ' total' || CASE WHEN cached_tokens > 0 THEN ', ' || format('{:,}', cached_tokens) || ' cached input' ELSE '' END
+  || CASE WHEN model <> '' THEN ', model=' || model ELSE '' END AS line FROM totals""",
+    "q_exclusion_lines": _DOCS
+    + f""", gone AS (SELECT *, replace(doc_type, '_', ' ') || ': written by the pipeline, no input' || CASE WHEN doc_type IN ({_list(SKIP_EXTRACT)}) THEN '' ELSE '; read, not appended' END AS reason FROM docs WHERE doc_type IN ({_list(SKIP_APPEND)}))
+SELECT packet_id, 0 AS line_no, 'Debug exclusions (' || CAST(count(*) AS VARCHAR) || '): classified and preprocessed, excluded from further processing' AS line FROM gone GROUP BY packet_id
+UNION ALL SELECT packet_id, CAST(doc_ord + 1 AS INTEGER), '  - [' || coalesce(doc_id, '') || '] ' || coalesce(doc_name, '') || ' (type=' || doc_type || ', pages=' || array_to_string(pages, ', ') || '): ' || reason FROM gone""",
     "q_backoff": "SELECT event_id, 1.0::DOUBLE * pow(2.0, event_id % 4) * CASE WHEN event_type = 'error' THEN 3 ELSE 1 END AS delay_s FROM events",
     "q_upload_chunks": """WITH RECURSIVE parts AS (SELECT packet_id AS group_id, doc_id AS part_id, coalesce(n_chars, 0) AS size, row_number() OVER (PARTITION BY packet_id ORDER BY doc_id) AS k FROM documents WHERE packet_id IS NOT NULL
 ), walk AS (

@@ -118,7 +118,7 @@ WITH long AS (
     list_sum(list_transform(range(1, 18), lambda i: (instr('0123456789', substr(translate(vin, 'ABCDEFGHJKLMNPRSTUVWXYZ', '12345678123457923456789'), i, 1)) - 1) * [8,7,6,5,4,3,2,10,0,9,8,7,6,5,4,3,2][i])) % 11 AS rest
   FROM numbered
 ), judged AS (
-  SELECT extraction_id, feed_id, load_no, load_id, field_name, value, number, CASE WHEN value IS NULL THEN NULL
+  SELECT extraction_id, feed_id, load_no, load_id, field_name, value, number, CASE WHEN field_name = 'driver_dob' AND dob BETWEEN DATE '1925-01-01' AND DATE '2009-12-31' THEN dob END AS born, CASE WHEN value IS NULL THEN NULL
       WHEN field_name = 'vehicle_vin' THEN regexp_full_match(vin, '[A-HJ-NPR-Z0-9]{17}') AND substr(vin, 9, 1) = CASE WHEN rest = 10 THEN 'X' ELSE CAST(rest AS VARCHAR) END
       WHEN field_name = 'driver_dob' THEN coalesce(dob BETWEEN DATE '1925-01-01' AND DATE '2009-12-31', false)
       ELSE number IS NOT NULL END AS ok
@@ -155,6 +155,21 @@ FROM picked WHERE node_path IN ('vehicle_vin', 'owner.full_name', 'owner.name',
   max(dob) FILTER (field_name = 'driver_dob' AND dob BETWEEN DATE '1925-01-01' AND DATE '2009-12-31') AS max_date
 FROM checked GROUP BY field_name, feed_id, load_no""",
     "p2_frequencies": _JUDGED + "SELECT field_name, feed_id, load_no, max(load_id) AS load_id, value, count(*) AS n FROM judged GROUP BY field_name, feed_id, load_no, value",
+    "p2_stability": _JUDGED
+    + """, tagged AS (SELECT field_name, feed_id, load_no, unnest([
+    {'kind': 'psi', 'class': CASE WHEN value IS NULL THEN 'missing' WHEN number IS NOT NULL THEN 'number ' || CAST(CAST(floor(2 * log2(number + 1)) AS BIGINT) AS VARCHAR) WHEN born IS NOT NULL THEN 'date ' || CAST(year(born) // 5 AS VARCHAR) ELSE 'value ' || value END},
+    {'kind': 'psi_shape', 'class': coalesce(regexp_replace(regexp_replace(upper(value), '[A-Z]+', 'A', 'g'), '[0-9]+', '9', 'g'), 'missing')},
+    {'kind': 'psi_state', 'class': CASE WHEN value IS NULL THEN 'missing' WHEN ok THEN 'well-formed' ELSE 'malformed' END}]) AS c FROM judged
+), classes AS (SELECT field_name, feed_id, load_no, c.kind AS kind, c.class AS class, count(*) AS n FROM tagged GROUP BY ALL
+), pairs AS (
+  SELECT field_name, feed_id, load_no, n_rows AS total, lag(load_no) OVER w AS p_load_no, lag(n_rows) OVER w AS p_total FROM loads WINDOW w AS (PARTITION BY field_name, feed_id ORDER BY load_no)
+), sides AS (
+  SELECT p.field_name, p.feed_id, p.load_no, total, p_total, kind, class, n, NULL AS p_n FROM pairs p JOIN classes c ON c.field_name = p.field_name AND c.feed_id = p.feed_id AND c.load_no = p.load_no WHERE p_load_no IS NOT NULL
+  UNION ALL
+  SELECT p.field_name, p.feed_id, p.load_no, total, p_total, kind, class, NULL, n FROM pairs p JOIN classes c ON c.field_name = p.field_name AND c.feed_id = p.feed_id AND c.load_no = p.p_load_no WHERE p_load_no IS NOT NULL
+), both_sides AS (SELECT field_name, feed_id, load_no, kind, class, coalesce(max(n), 0.5::DOUBLE) / max(total) AS p, coalesce(max(p_n), 0.5::DOUBLE) / max(p_total) AS q FROM sides GROUP BY ALL
+), parts AS (SELECT *, (p - q) * ln(p / q) AS part FROM both_sides)
+SELECT field_name, feed_id, load_no, round(sum(part) FILTER (kind = 'psi'), 6) AS psi, round(sum(part) FILTER (kind = 'psi_shape'), 6) AS psi_shape, round(sum(part) FILTER (kind = 'psi_state'), 6) AS psi_state FROM parts GROUP BY field_name, feed_id, load_no""",
     "p2_found": _JUDGED
     + """, lagged AS (
   SELECT *, lag(n_rows) OVER w AS p_rows, lag(filled) OVER w AS p_filled, lag(mode_n) OVER w AS p_mode, lag(good) OVER w AS p_good, lag(median) OVER w AS p_median

@@ -29,7 +29,7 @@ def test_records(spark):
 def test_schemas(spark):
     s = schemas.json_schema("driver_license")
     assert list(s["properties"]) == ["document_type", "source_document_name", "driver_dob", "driver_eyes_color", "extra"] and schemas.fields_of("odd") == schemas.fields_of("other")
-    plain = schemas.without(s | {"type": "OBJECT"})
+    plain = schemas.translated(s | {"type": "OBJECT"})
     assert plain["type"] == "object" and "additionalProperties" not in json.dumps(plain) and plain["propertyOrdering"][0] == "document_type"
     assert schemas.instructions(spark).count() == 15
     answers = spark.createDataFrame([('{"driver_dob": {"value": "x", "confidence": 1}}',), (" ",), ("nope",), (None,), ("[1]",)], "answer string")
@@ -37,6 +37,25 @@ def test_schemas(spark):
     assert [r.parse_status for r in rows] == ["ok", "empty", "invalid", "empty", "invalid"] and rows[0].payload.driver_dob.value == "x"
 
 
+def test_dialect_keeps_names_and_definitions():
+    schema = {
+        "$schema": "x", "type": "OBJECT", "title": "T", "properties": {"title": {"type": ["STRING", "null"], "default": "d", "minimum": 1}, "kind": {"enum": ["default", {"title": 1}], "$ref": "#/$defs/K"}},
+        "$defs": {"K": {"type": "Object", "properties": {"minimum": {"type": "number", "exclusiveMaximum": 4, "maxLength": 3}}, "additionalProperties": False}, "default": {"type": "String"}}, "items": [{"title": "gone"}],
+    }
+    assert schemas.translated(schema) == {
+        "type": "object", "properties": {"title": {"type": ["string", "null"]}, "kind": {"enum": ["default", {"title": 1}], "$ref": "#/$defs/K"}}, "propertyOrdering": ["title", "kind"],
+        "$defs": {"K": {"type": "object", "properties": {"minimum": {"type": "number", "maxLength": 3}}, "propertyOrdering": ["minimum"]}, "default": {"type": "string"}}, "items": [{}],
+    }
+    assert schema["title"] == "T" and schemas.translated({}) == {}
+
+
+def test_prompts(spark):
+    df = spark.createDataFrame([(1, 0, "A 'b'", "lease_agreement", "p.pdf"), (1, 1, None, None, None)], "packet_id bigint, doc_ord int, doc_name string, doc_type string, pdf_path string")
+    a, b = [r.prompt for r in schemas.prompts(df).orderBy("doc_ord").collect()]
+    assert "'A 'b''" in a and "from p.pdf" in a and "- lessee_name: lessee name" in a and "Mind: The lessor" in a and "- driver_dob" not in a and "not known" in b and "unknown" in b
+    assert "- check_payment: Check (also cheque, stub)" in schemas.classification_prompt([("check_payment", "Check", ["stub", "cheque"])], 4)
+
+
 def test_settings():
     s = Settings.load({"PACKETFLOW_DPI": "900", "PACKETFLOW_CONCURRENCY": "0", "PACKETFLOW_TIMEOUT_MS": "1", "PACKETFLOW_RETRIES": "x", "PACKETFLOW_DEBUG": "On", "PACKETFLOW_BASE_DELAY_SECONDS": " "})
     assert (s.dpi, s.concurrency, s.timeout_ms, s.retries, s.debug, s.base_delay_seconds) == (200, 1, 30_000, 3, True, 1.0)

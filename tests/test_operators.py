@@ -25,8 +25,8 @@ def test_page_coverage(spark):
 
 
 def test_contiguity(spark):
-    found = C.contiguity_conflicts(packets(spark, ([doc(15, 25), doc(21, 22)], [], 30), ([doc(27, *range(29, 38))], [28], 40), ([doc(1, 5), doc(3)], [3], 5))).collect()
-    assert [(r.packet_id, r.doc_ord, r.conflicting) for r in found] == [(0, 0, [21, 22])]
+    found = C.contiguity_conflicts(packets(spark, ([doc(3, 11), doc(6, 8)], [], 12), ([doc(4, 6, 7)], [5], 9), ([doc(1, 5), doc(3)], [3], 5))).collect()
+    assert [(r.packet_id, r.doc_ord, r.conflicting) for r in found] == [(0, 0, [6, 8])]
     assert [r.is_contiguous for r in C.validity(packets(spark, ([doc(1, 3), doc(2)], [], 3), ([doc(1)], [], 1))).orderBy("packet_id").collect()] == [False, True]
 
 

@@ -86,22 +86,20 @@ def _number(x) -> float | None:
 
 def _records(text: str | None) -> list[dict]:
     """The record objects in a text: plain, in a list, in a JSON string, or under a wrapping key."""
-    found, todo = [], [(text, 0)]
-    while todo:
-        x, depth = todo.pop()
-        if depth > 8:
-            continue
+    found, todo = [], [text]
+    while todo:  # every step leaves less text, so any depth ends
+        x = todo.pop()
         if isinstance(x, str):
             try:
-                todo.append((json.loads(x.lstrip("﻿")), depth + 1))
+                todo.append(json.loads(x.lstrip("﻿")))
             except (ValueError, RecursionError):
                 pass
         elif isinstance(x, list):
-            todo += [(y, depth + 1) for y in reversed(x) if isinstance(y, (dict, str))]
+            todo += [y for y in reversed(x) if isinstance(y, (dict, str))]
         elif isinstance(x, dict):
             inner = [k for k in x if k in WRAPPERS and isinstance(x[k], (dict, list)) and not (isinstance(x[k], dict) and "value" in x[k])]
             if len(x) == 1 and inner:
-                todo.append((x[inner[0]], depth + 1))
+                todo.append(x[inner[0]])
             else:
                 found.append(x)
     return found

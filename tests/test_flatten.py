@@ -71,3 +71,13 @@ def test_deep_and_long(spark):
     deep = '{"a":' * 3000 + "1" + "}" * 3000
     long = json.dumps({"v": {"value": "x" * 2_000_000}})
     assert [r[:3] for r in nodes(spark, deep, long)] == [(1, "field", "v")]
+
+
+def test_any_depth_of_wrapping():
+    from packetflow.operators.flatten import _records
+
+    text = wrapped = '{"a": "b"}'
+    for _ in range(12):
+        text = json.dumps(text)
+        wrapped = '{"record": [%s]}' % wrapped
+    assert _records(text) == _records(wrapped) == [{"a": "b"}]

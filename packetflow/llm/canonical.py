@@ -212,15 +212,16 @@ def context_words(values: DataFrame, names, least: int = 3) -> DataFrame:
     return beside.groupBy("field_name", "token").agg(F.countDistinct("canonical_id").alias("entries")).filter(F.col("entries") >= least).select("field_name", "token")
 
 
-def _rank(field: str, value: str, repairs: dict[str, list[tuple[str, float]]], names, weights: dict[str, float], context: set[str], order: dict[int, float]) -> tuple[int, float]:
-    """The best entry of a value by soft TF-IDF over repaired tokens, and its score."""
+def _rank(value: str, repairs: dict[str, list[tuple[str, float]]], names, index: dict[str, list[int]], weights: dict[str, float], context: set[str], order: dict[int, float]) -> tuple[int, float]:
+    """The best entry of a value by soft TF-IDF over repaired tokens, and its score; only entries with a repaired word are looked at."""
     best = (0, 0.0)
     base = tokens(value)
     for words in splittings(base):
         moved = 0.0 if words is base else 0.02
         found = [dict(repairs.get(t, ())) for t in words]
         is_context = [max((s for w, s in c.items() if w in context), default=0.0) for c in found]
-        for cid, name, joined in names:
+        for at_name in {n for c in found for w, sim in c.items() if sim > 0 for n in index.get(w, ())}:
+            cid, name, joined = names[at_name]
             for target in (name, (joined,)) if len(name) > 1 else (name,):
                 used, got, whole = set(), 0.0, 0.0
                 for w in target:
@@ -257,6 +258,11 @@ def map_values(extractions: DataFrame, canonical: DataFrame, fields: tuple[str,
     by_field: dict[str, list] = defaultdict(list)
     for f, i, name in names:
         by_field[f].append((i, name, "".join(name)))
+    index: dict[str, dict[str, list[int]]] = {f: defaultdict(list) for f in by_field}
+    for f, rows in by_field.items():
+        for n, (_, name, joined) in enumerate(rows):
+            for w in {*name, joined}:
+                index[f][w].append(n)
     weights: dict[str, dict[str, float]] = {}
     for f, rows in by_field.items():
         df = Counter(w for _, name, _ in rows for w in set(name))
@@ -281,7 +287,7 @@ def map_values(extractions: DataFrame, canonical: DataFrame, fields: tuple[str,
                 repairs_of: dict[str, list[tuple[str, float]]] = defaultdict(list)
                 for x in found:
                     repairs_of[x["token"]].append((x["word"], x["sim"]))
-                cid, score = _rank(f, v, repairs_of, by_field.get(f, []), weights.get(f, {}), context.get(f, set()), order.get(f, {}))
+                cid, score = _rank(v, repairs_of, by_field.get(f, []), index.get(f, {}), weights.get(f, {}), context.get(f, set()), order.get(f, {}))
                 out.append((f, v, cid, score, n))
             yield pd.DataFrame(out, columns=["field_name", "raw_value", "canonical_id", "score", "n"])
 

@@ -2,15 +2,26 @@
 
 from __future__ import annotations
 
+from functools import lru_cache
 from itertools import combinations
 
 
+@lru_cache(maxsize=200_000)
+def _letters(word: str) -> int:
+    """One bit for each letter that occurs; letters may share a bit."""
+    bits = 0
+    for c in word:
+        bits |= 1 << (ord(c) & 63)
+    return bits
+
+
 def osa(a: str, b: str, most: int) -> int:
     """Edits (insert, delete, replace, swap of neighbours) between a and b; most + 1 when there are more than most."""
     if a == b:
         return 0
     n, m = len(a), len(b)
-    if abs(n - m) > most:
+    # An edit takes at most one letter away and brings one.
+    if abs(n - m) > most or (_letters(a) ^ _letters(b)).bit_count() > 2 * most:
         return most + 1
     start = 0
     while start < n and start < m and a[start] == b[start]:

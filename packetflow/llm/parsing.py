@@ -30,6 +30,7 @@ _TAIL = re.compile(rf"^\s*([A-Z][A-Z0-9.' ]+?)(?:[\s,]+({_STATE_NAMES})\.?)?(?:[
 _PLACEHOLDER = re.compile(r"^\W*(?:N/?A|NONE|NULL|UNKNOWN|TBD|SEE ATTACHED|SAME)?\W*$")
 
 
+@lru_cache(maxsize=100_000)
 def upper(text: str | None) -> str:
     """Upper case without accents, single spaces."""
     if not text:
@@ -42,6 +43,8 @@ def upper(text: str | None) -> str:
 
 def letters(word: str) -> str:
     """A word with digits that stand for letters read as letters."""
+    if word.isalpha() or word.isdigit():
+        return word
     if len(word) > 3 and sum(c.isdigit() for c in word) in (1, 2) and not word[0].isdigit() or len(word) > 4 and sum(c.isdigit() for c in word) == 1 and not word[-1].isdigit() and not word[:-1].isdigit():
         return word.translate(str.maketrans("01568", "OISBB"))
     return word
@@ -113,6 +116,7 @@ SUFFIXES = frozenset("JR SR II III IV".split())
 PARTICLES = frozenset("VAN DE DEL DER EL LA LE VON DA DI MC MAC ST".split())
 #: Kinds of firm, with short forms of their words and whole abbreviations.
 FIRM_KINDS = ("VEHICLE LEASING TRUST", "FEDERAL CREDIT UNION", "FINANCE SERVICES", "EQUIPMENT LEASING", "NATIONAL BANK", "BANK NA", "SAVINGS BANK", "MOTORS CREDIT", "AUTO FINANCE", "TRUCK AUTO", "CAR CENTER", "AUTO GROUP", "AUTO SALES", "AUTO MALL", "AUTOMALL", "CREDIT UNION", "AUTO", "IMPORTS", "MOTORS", "BANK", "LEASING", "FINANCE")
+_KINDS = [(k, k.split()) for k in FIRM_KINDS]
 SAME_KIND = {"BANK NA": "NATIONAL BANK", "AUTOMALL": "AUTO MALL"}
 FIRM_WORDS = {
     "VEHICLE": ("VEH", "VEHICLES"), "LEASING": ("LSG", "LEASE", "LEAS"), "TRUST": ("TR", "TRST"), "FEDERAL": ("FED", "FEDL"), "CREDIT": ("CR", "CRED"), "UNION": ("UN", "UNI"), "SERVICES": ("SVC", "SVCS", "SERV", "SERVS", "SERVICE"), "EQUIPMENT": ("EQUIP", "EQPT", "EQP"),
@@ -184,8 +188,9 @@ def firm_name(text: str, city: str | None, towns: frozenset[str] = frozenset())
     words = [x for w in words if w not in LEGAL for x in (("CREDIT", "UNION") if w == "CU" else (w,))]
     plain = [_firm_word(w) for w in words]
     kind = ""
-    for k in FIRM_KINDS:
-        parts = k.split()
+    for k, parts in _KINDS:
+        if parts[0] not in plain:
+            continue
         spots = [i for i in range(len(plain) - len(parts) + 1) if plain[i : i + len(parts)] == parts]
         if spots and len(words) > len(parts):
             kind = SAME_KIND.get(k, k)

@@ -51,8 +51,7 @@ def vin_scored(votes_: DataFrame, counts: DataFrame) -> DataFrame:
 
 def entity_scored(hypotheses: DataFrame, counts: DataFrame) -> DataFrame:
     """What the winning source of each nest says, scored against all readings of the field."""
-    readings = E.entity_readings(hypotheses)
-    won = E.entity_values(readings, E.entity_source(readings))
+    won = E.entity_values(E.entity_source(E.entity_readings(hypotheses)))
     return _scored(counts, won.select("packet_id", F.col("field").alias("field_name"), "value"), "entity")
 
 

@@ -25,17 +25,16 @@ def entity_readings(hypotheses: DataFrame) -> DataFrame:
 
 
 def entity_source(readings: DataFrame) -> DataFrame:
-    """packet_id, nest, source_document_name, document_type, parts, fields: the winning source of every nest."""
+    """packet_id, nest, source_document_name, document_type, parts, fields, said: the winning source of every nest, and its
+    readings, at most one a field, carried along so that nobody has to look them up again."""
     boost = F.coalesce(F.create_map(*[F.lit(x) for pair in TYPE_BOOST.items() for x in pair])[F.col("document_type")], F.lit(0))
     firm = F.max((F.col("field") == "owner_full_name") & F.upper("value").rlike("|".join(ENTITY_NAME_TOKENS)))
-    each = readings.groupBy(*_SOURCE).agg(F.count_if("part").alias("parts"), F.coalesce(firm, F.lit(False)).alias("firm"), F.count("*").alias("fields"), F.sum("units").alias("units"), F.min("extraction_id").alias("first"))
+    each = readings.groupBy(*_SOURCE).agg(F.count_if("part").alias("parts"), F.coalesce(firm, F.lit(False)).alias("firm"), F.count("*").alias("fields"), F.sum("units").alias("units"), F.min("extraction_id").alias("first"), F.array_sort(F.collect_list(F.struct("field", "value", F.col("units").alias("said_units")))).alias("said"))
     rank = F.struct("parts", "firm", boost.alias("boost"), "fields", (F.col("units") / F.col("fields")).alias("mean"), "units", (-F.col("first")).alias("first"))
-    won = each.groupBy("packet_id", "nest").agg(F.max_by(F.struct("source_document_name", "document_type", "parts", "fields"), rank).alias("w"))
+    won = each.groupBy("packet_id", "nest").agg(F.max_by(F.struct("source_document_name", "document_type", "parts", "fields", "said"), rank).alias("w"))
     return won.select("packet_id", "nest", "w.*")
 
 
-def entity_values(readings: DataFrame, source: DataFrame) -> DataFrame:
+def entity_values(source: DataFrame) -> DataFrame:
     """packet_id, nest, field, value, confidence as the winning source has them."""
-    won = source.select("packet_id", "nest", F.col("source_document_name").alias("n"), F.col("document_type").alias("t"))
-    joined = readings.join(won, ["packet_id", "nest"]).filter(F.col("source_document_name").eqNullSafe(F.col("n")) & F.col("document_type").eqNullSafe(F.col("t")))
-    return joined.select("packet_id", "nest", "field", "value", (F.col("units") / 10_000).alias("confidence"))
+    return source.select("packet_id", "nest", F.explode("said").alias("s")).select("packet_id", "nest", "s.field", "s.value", (F.col("s.said_units") / 10_000).alias("confidence"))

@@ -67,8 +67,7 @@ def q_entity_source(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def q_entity_values(spark: SparkSession, folder: str) -> DataFrame:
-    readings = E.entity_readings(payload.hypotheses(table(spark, folder, "extractions")))
-    return E.entity_values(readings, E.entity_source(readings))
+    return E.entity_values(E.entity_source(E.entity_readings(payload.hypotheses(table(spark, folder, "extractions")))))
 
 
 _SCORED = ["packet_id", "field_name", "value", "confidence", "review_required"]

@@ -126,7 +126,7 @@ def test_entity_source(spark):
     x = extractions(spark, (1, "dealer_invoice", "inv", None, {"owner_full_name": ("Y", 1.0)}), (2, "universal_title_application", "uta", None, a), (3, "other", "o", None, a | {"owner_address_zip": ("z", 1.0)}))
     readings = E.entity_readings(payload.hypotheses(x))
     assert E.entity_source(readings).first().source_document_name == "uta"
-    assert E.entity_values(readings, E.entity_source(readings)).count() == 3
+    assert E.entity_values(E.entity_source(readings)).count() == 3
 
 
 def test_scalars(spark):

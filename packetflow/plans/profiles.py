@@ -57,6 +57,8 @@ QUERIES = {f.__name__: f for f in (q_record_counts, q_record_values, p1_found, p
 
 _AT = lambda j, k: f"json_extract({j}, '/' || replace(replace({k}, '~', '~0'), '/', '~1'))"
 _ITEMS = lambda j: f"CASE WHEN {j} IS NULL OR json_type({j}) = 'NULL' THEN [] WHEN json_type({j}) = 'ARRAY' THEN json_extract({j}, '$[*]') ELSE [{j}] END"
+_PLAIN = lambda j: f"CASE WHEN json_type({j}) = 'NULL' THEN NULL ELSE {j} ->> '$' END"
+_DOUBLE = lambda j: f"CASE WHEN json_type({j}) IN ('NULL', 'BOOLEAN', 'OBJECT', 'ARRAY') THEN NULL ELSE try_cast({j} ->> '$' AS DOUBLE) END"
 _NODES = f"""
 WITH RECURSIVE opened AS (
   SELECT record_id, '' AS spot, json(ltrim(record_json, chr(65279))) AS j FROM consolidated_records WHERE json_valid(ltrim(record_json, chr(65279)))
@@ -137,6 +139,17 @@ ORACLE = {
     + """ SELECT 'consolidated_records' AS source_table, record_id, node_path, -1 AS item_no FROM fields
 UNION SELECT 'consolidated_records', record_id, node_path, CAST(item_no AS INTEGER) FROM variants UNION SELECT 'consolidated_records', record_id, node_path, CAST(item_no AS INTEGER) FROM extras
 UNION SELECT 'extractions', extraction_id, 'extra', CAST(i - 1 AS INTEGER) FROM (SELECT extraction_id, unnest(extra) AS x, generate_subscripts(extra, 1) AS i FROM extractions) WHERE x IS NOT NULL""",
+    "p1_nodes": _NODES
+    + f""", told AS (
+  SELECT record_id, 'field' AS kind, parent_path, node_path, -1 AS item_no, CASE WHEN json_type(node) = 'OBJECT' THEN {_PLAIN("json_extract(node, '$.value')")} ELSE node ->> '$' END AS value, CASE WHEN json_type(node) = 'OBJECT' THEN {_DOUBLE("json_extract(node, '$.confidence')")} END AS confidence,
+    NULL::VARCHAR AS source_document_name, NULL::VARCHAR AS source_document_type, NULL::VARCHAR AS field_name, CASE WHEN json_type(node) = 'OBJECT' AND json_type(json_extract(node, '$.review_required')) = 'BOOLEAN' THEN json_extract_string(node, '$.review_required') = 'true' END AS review_required FROM fields
+  UNION ALL
+  SELECT record_id, 'variant', node_path, node_path, CAST(item_no AS INTEGER), CASE WHEN json_type(item) = 'OBJECT' THEN {_PLAIN("json_extract(item, '$.value')")} ELSE {_PLAIN("item")} END, CASE WHEN json_type(item) = 'OBJECT' THEN {_DOUBLE("json_extract(item, '$.confidence')")} END,
+    CASE WHEN json_type(item) = 'OBJECT' THEN {_PLAIN("json_extract(item, '$.source_document_name')")} END, CASE WHEN json_type(item) = 'OBJECT' THEN {_PLAIN("json_extract(item, '$.source_document_type')")} END, NULL, NULL FROM variants
+  UNION ALL
+  SELECT record_id, 'extra', 'extra', node_path, CAST(item_no AS INTEGER), CASE WHEN json_type(item) = 'OBJECT' THEN {_PLAIN("json_extract(item, '$.value')")} ELSE {_PLAIN("item")} END, CASE WHEN json_type(item) = 'OBJECT' THEN {_DOUBLE("json_extract(item, '$.confidence')")} END,
+    NULL, NULL, CASE WHEN json_type(item) = 'OBJECT' THEN {_PLAIN("json_extract(item, '$.field_name')")} END, NULL FROM extras)
+SELECT * FROM told""",
     "q_record_counts": _NODES
     + """, counted AS (
   SELECT record_id, count(*) AS fields, count(*) FILTER (NOT review_required) AS accepted, 0 AS variants, 0 AS extra_items FROM valued GROUP BY record_id

@@ -141,7 +141,8 @@ def unique_file_names(packets: DataFrame) -> DataFrame:
     bases = packets.select("packet_id", F.transform(F.filter("classified", lambda d: d.isNotNull()), lambda d: file_name(d["name"])).alias("bases"))
 
     def add(used: Column, base: Column) -> Column:
-        tries = F.transform(F.sequence(F.lit(1), F.size(used) + 1), lambda k: F.when(k == 1, base).otherwise(F.concat(base, F.lit("_"), k.cast("string"))))
+        # Only names that begin alike can be in the way, so one more try than there are of them is enough.
+        tries = F.transform(F.sequence(F.lit(1), F.size(F.filter(used, lambda u: F.startswith(u, base))) + 1), lambda k: F.when(k == 1, base).otherwise(F.concat(base, F.lit("_"), k.cast("string"))))
         return F.concat(used, F.array(F.get(F.filter(tries, lambda t: ~F.array_contains(used, t)), 0)))
 
     names = F.aggregate("bases", F.array().cast("array<string>"), add)

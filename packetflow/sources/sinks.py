@@ -8,7 +8,10 @@ BUCKETS = 64
 
 
 def write_by_packet(df: DataFrame, folder: str, form: str = "parquet", buckets: int = BUCKETS) -> None:
-    """Write under bucket=n folders by packet_id: readers of some packets open a few folders, and there is no folder per packet."""
+    """Write under bucket=n folders by packet_id: readers of some packets open a few folders, and there is no folder per packet.
+
+    buckets is the number of writing tasks as well; set it so that a bucket holds some hundred megabytes.
+    """
     out = df.withColumn("bucket", F.pmod(F.xxhash64("packet_id"), F.lit(buckets)))
     out.repartition("bucket").write.mode("overwrite").partitionBy("bucket").format(form).save(folder)
 

@@ -72,6 +72,7 @@ _LABEL = re.compile(r"(?m)^[ \t>*-]*(?:[A-Za-zÁÉÍÓÚáéíóúñ][A-Za-zÁÉ
 _BROKEN = ("undefined", "null", "none", "nan", "todo", "nil", "error!")
 #: Sentences that speak about a marker instead of leaving one unfilled.
 _ABOUT = re.compile(r"\b(?:mail merge|marker|letter temp\w+|do not delete)\b", re.I)
+_DIGIT = re.compile("[0-9]")
 _CUT = re.compile(r"(?<=[.!?])\s+|\n+")
 _DATE = re.compile(r"\b\d{1,4}[/.-]\d{1,2}[/.-]\d{1,4}\b")
 _ADDRESS = re.compile(r"\b\d+\s+(?:[A-Z][\w']*\s+){1,3}(?:Street|St|Avenue|Ave|Road|Rd|Lane|Ln|Drive|Dr|Court|Ct|Place|Pl|Boulevard|Blvd|Highway|Hwy|Terrace|Ter|Turnpike|Tpke|Way)\b\.?", re.I)
@@ -160,38 +161,39 @@ class Reader:
             core = _core(p)
             self.triggers.add_word(f" {core} ", core)
         self.triggers.make_automaton()
-        self.known: dict[str, tuple[str, bool, bool]] = {}
+        self.known: dict[str, tuple[str, int, int, int, int]] = {}
         self.most = most
 
-    def fold(self, text: str) -> tuple[str, int, int]:
-        """The folded words of plain text between blanks, how many are filler Latin, and how many are cues."""
+    def fold(self, text: str) -> tuple[str, int, int, int, int]:
+        """The folded words of plain text, and how many are filler Latin, cues, words of messages and other words (function words aside)."""
         if len(self.known) > self.most:
             self.known.clear()
-        known, found, latin, cues = self.known, [], 0, 0
+        known, found, latin, cues, usual, other = self.known, [], 0, 0, 0, 0
         for w in _WORD.findall(text):
             if (x := known.get(w)) is None:
                 f = folded(w)
-                x = known[w] = (f, bool(_LATIN.match(f)), f in _CUE)
+                x = known[w] = (f, int(bool(_LATIN.match(f))), int(f in _CUE), int(f in _USUAL and f not in _FUNCTION), int(f not in _USUAL and f not in _FUNCTION))
             found.append(x[0])
             latin += x[1]
             cues += x[2]
-        return f" {' '.join(found)} ", latin, cues
+            usual += x[3]
+            other += x[4]
+        return " ".join(found), latin, cues, usual, other
 
     def segments(self, text: str) -> Iterator[tuple[str, str, bool]]:
         """(kind, masked segment, sure) of the segments that can be a message; sure ones count without recurring."""
         if has_placeholder(text):
             yield "placeholder", "", True
-        low = plain(text)
-        whole, latin, cues = self.fold(low)
-        hits = {core for _, core in self.triggers.iter(whole)}
+        pieces = [(p, self.fold(p)) for p in _CUT.split(plain(text)) if p]
+        hits = {core for _, core in self.triggers.iter(f" {' '.join(x[0] for _, x in pieces if x[0])} ")}
         for core in hits:
             if core in _ANYWHERE:
                 yield _ANYWHERE[core], "", True
-        if not hits and latin < 5 and not cues:
-            return
+        every = hits or sum(x[1] for _, x in pieces) >= 5
         seen = set()
-        for piece in _CUT.split(low):
-            if not piece or not hits and latin < 5 and not self.fold(piece)[2]:
+        for piece, (_, _, cues, usual, other) in pieces:
+            # Without digits nothing is masked, so the words already tell that it has no shape.
+            if not every and (not cues or usual < SHAPED * (usual + other) and not _DIGIT.search(piece)):
                 continue
             if (mask := masked(piece)) in seen or not mask:
                 continue

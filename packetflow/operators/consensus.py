@@ -82,9 +82,9 @@ def scored(counts: DataFrame, chosen: DataFrame, keep: list[str] | None = None)
         F.sum("n").alias("all"), F.sum("units").alias("all_units"), F.coalesce(F.max(F.when(F.col("part") != "exact", F.col("n"))), F.lit(0)).alias("second"),
     )
     c = F.col
-    base = 0.65 * (c("peak") / _UNIT) + 0.35 * (c("exact_units") / _UNIT / c("exact"))
-    loss = F.when(c("near") > 0, 0.35 * (c("near_steps") / 1_000_000_000 / c("near")) * (c("near_units") / c("all_units"))).otherwise(0.0)
-    value = base * (0.85 + 0.15 * (c("exact") / (c("exact") + c("second")))) * (1 - loss)
+    base = 0.65 * (c("peak") / _UNIT) + 0.35 * (F.try_divide(c("exact_units") / _UNIT, c("exact")))
+    loss = F.when(c("near") > 0, 0.35 * (c("near_steps") / 1_000_000_000 / c("near")) * F.coalesce(F.try_divide("near_units", "all_units"), F.lit(0.0))).otherwise(0.0)
+    value = base * (0.85 + 0.15 * F.try_divide(c("exact"), c("exact") + c("second"))) * (1 - loss)
     value = F.when(c("exact") >= 2, F.least(F.lit(1.0), 1.04 * value)).otherwise(value)
     value = F.when((c("exact") >= 2) & (c("exact") > c("second")), F.least(F.lit(1.0), 1.03 * value)).otherwise(value)
     value = F.when(c("all") == 1, c("all_units") / _UNIT).when(c("exact") == 0, F.coalesce(0.6 * (c("near_peak") / _UNIT), F.lit(0.0))).otherwise(value)

@@ -145,7 +145,7 @@ _SCORE = """), compared AS (
   FROM compared GROUP BY ALL
 ), raw AS (
   SELECT *, (0.65::DOUBLE * (peak / 100000000) + 0.35::DOUBLE * (exact_units / 100000000 / exact)) * (0.85::DOUBLE + 0.15::DOUBLE * (exact / (exact + second)))
-    * (1 - CASE WHEN near > 0 THEN 0.35::DOUBLE * (near_steps / 1000000000 / near) * (near_units / all_units) ELSE 0.0::DOUBLE END) AS v FROM got
+    * (1 - CASE WHEN near > 0 THEN 0.35::DOUBLE * (near_steps / 1000000000 / near) * coalesce(near_units / nullif(all_units, 0), 0) ELSE 0.0::DOUBLE END) AS v FROM got
 ), raised AS (SELECT *, CASE WHEN exact >= 2 THEN least(1.0::DOUBLE, 1.04::DOUBLE * v) ELSE v END AS v1 FROM raw
 ), final AS (
   SELECT *, greatest(0.0::DOUBLE, least(1.0::DOUBLE, CASE WHEN everyone = 1 THEN all_units / 100000000 WHEN exact = 0 THEN coalesce(0.6::DOUBLE * (near_peak / 100000000), 0.0) WHEN exact >= 2 AND exact > second THEN least(1.0::DOUBLE, 1.03::DOUBLE * v1) ELSE v1 END)) AS c FROM raised

@@ -37,3 +37,17 @@ def test_consolidated(spark):
     counts = {r.record_id: (r.fields, r.variants, r.extra_items) for r in assembly.record_counts(flatten.flatten_records(K.records(x), "packet_id")).collect()}
     assert counts[1] == (7, 11, 1) and counts[2] == (1, 1, 0)
     assert K.consolidated(x.limit(0)).count() == 0 and K.records(x.limit(0)).count() == 0
+
+
+def test_nothing_agrees_and_nothing_is_sure(spark):
+    """A chosen value no reading spells, or readings without any confidence, are scored and not divided by zero."""
+    x = extractions(
+        spark,
+        (1, 1, "manufacturer_certificate", "A", None, {"vehicle_vin": ("1M8-GDM9-AXKP-0427-88", 0.8)}),
+        (2, 1, "dealer_invoice", "B", None, {"vehicle_vin": ("zz", 0.9)}),
+        (3, 2, "dealer_invoice", "A", None, {"vehicle_color": ("TURQUOISE", 0.0)}),
+        (4, 2, "dealer_invoice", "B", None, {"vehicle_color": ("TURQUOISA", 0.0)}),
+        (5, 2, "dealer_invoice", "C", None, {"vehicle_color": ("TURQUOISE", 0.0)}),
+    )
+    got = {(r.packet_id, r.field_name): (r.confidence, r.review_required) for r in K.consolidated(x).collect()}
+    assert got == {(1, "vehicle_vin"): (0.0, True), (2, "vehicle_color"): (0.0, True)}

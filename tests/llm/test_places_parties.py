@@ -93,6 +93,32 @@ def _sets(labels):
     return found.values()
 
 
+def test_pairs_over_the_threshold_are_linked(spark):
+    """Every pair that meets the threshold and agrees in town or zip ends in one location, crowded tokens or not."""
+    rng = random.Random(9)
+    towns = ["COAXOFIELD FALLS", "DOVER", "SALEM", "WEALILEY", "FORT LEE"]
+    slip = lambda w: (lambda i: w[:i] + rng.choice(["", "X", w[i : i + 1] * 2]) + w[i + 1 :])(rng.randrange(len(w))) if w and rng.random() < 0.5 else w
+    base = [(str(rng.randrange(1, 4)), "", n, "STREET", t, "NJ", f"{10000 + 777 * i}") for i, t in enumerate(towns) for n in ("TRAILHURST", "OAK", "ROWAN")] + [(f"BOX {k}", "", "", "", t, "NJ", f"{10000 + 777 * i}") for k in (1, 2) for i, t in enumerate(towns)]
+    found = sorted({P.Address(n, d, slip(s), rng.choice([k, ""]), slip(c), rng.choice([st, ""]), rng.choice([slip(z), slip(z), ""])) for n, d, s, k, c, st, z in base * 12})
+    found += [P.Address("216", "", "TRAILIHURST", "HIGHWAY", "COAXOFFIELD FALLS", "DE", "10784"), P.Address("216", "", "TTAILIHURST", "HIGHWAY", "COAXOFILED FALLS", "DE", "16784"), P.Address("BOX 8", "", "", "", "LAKE WUMOBY", "NY", ""), P.Address("BOX 8", "", "", "", "LAKE WUNOBY", "NY", "10876")]
+    found += [P.Address("250", "", "QUARRY", "TURNPIKE", "DOVER", "NJ", "10178"), P.Address("250", "", "QURRY", "TURNPIKE", "DOVER", "NJ", "10173"), P.Address("250", "", "QARRY", "", "DOVER", "NJ", "10173")]
+    df = spark.createDataFrame([(i, 1, 1, *a) for i, a in enumerate(found)], "id bigint, n bigint, n_name bigint, number string, direction string, name string, kind string, city string, state string, zip string")
+    due = [(i, j) for j, b in enumerate(found) for i, a in enumerate(found[:j]) if (a.city and b.city or a.zip and b.zip) and P.contained(a, b) >= P.CONTAINED]
+    assert len(due) > 400 and all(P.contained(a, b) == P.contained(b, a) for a in found[::7] for b in found)
+    for crowd in (10_000, 2):
+        label = clusters([(r.a, r.b) for r in P.location_links(df, crowd).collect()], range(len(found)))
+        assert [p for p in due if label[p[0]] != label[p[1]]] == []
+
+
+def test_town_and_zip_apart(spark):
+    """Where nothing tells of the town in both, one location that fits is joined, one of several is not."""
+    items = [("361", "GRANITE", "WEALILEY", ""), ("361", "GRANITE", "", "10194"), ("12", "MAIN", "DOVER", ""), ("12", "MAIN", "", "10777"), ("12", "MAIN", "SALEM", ""), ("12", "MAIN", "", ""), ("14", "MAIN", "DOVER", "07801"), ("14", "MAIN", "", "10777"), ("14", "MAIM", "", ""), ("16", "MAIN", "", "10777"), ("16", "MAIM", "", ""), ("18", "MAIN", "", ""), ("18", "MAIM", "", "")]
+    df = spark.createDataFrame([(i, 1, 1, n, "", name, "", c, "", z) for i, (n, name, c, z) in enumerate(items)], "id bigint, n bigint, n_name bigint, number string, direction string, name string, kind string, city string, state string, zip string")
+    for crowd in (10_000, 1):
+        label = clusters([(r.a, r.b) for r in P.location_links(df, crowd).collect()], range(len(items)))
+        assert [sorted(g) for g in _sets(label) if len(g) > 1] == [[0, 1], [9, 10], [11, 12]]
+
+
 def test_no_places(spark):
     assert place_pairs(spark, (1, 1, {})) == set()
     assert P.found_places(extractions(spark, (1, 1, {})).limit(0)).count() == 0

@@ -12,6 +12,8 @@ from packetflow.operators import raster
 from packetflow.sources.tables import table
 
 LINE, GLYPH, MARGIN, COLUMNS = 12, 6, 30, 72
+#: Bytes of drawn pages from which they are handed on; a batch of texts has many more.
+PART = 8_000_000
 
 
 def vector_pages(spark: SparkSession, folder: str) -> DataFrame:
@@ -43,13 +45,18 @@ def document_pages(spark: SparkSession, folder: str) -> DataFrame:
     """Every document as a drawn page; one in three is scanned askew, one in seven sideways."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        columns = ["packet_id", "page_no", "mode", "height", "width", "data"]
         for b in batches:
-            out = []
+            out, held = [], 0
             for i, text in zip(b.doc_id, b.text):
                 page = drawn(text or "")
                 page = np.rot90(page) if i % 7 == 0 else raster.rotate(page, 3.0) if i % 3 == 0 else page
                 out.append((i, 1, "default", *page.shape, np.ascontiguousarray(page).tobytes()))
-            yield pd.DataFrame(out, columns=["packet_id", "page_no", "mode", "height", "width", "data"])
+                held += page.size
+                if held >= PART:
+                    yield pd.DataFrame(out, columns=columns)
+                    out, held = [], 0
+            yield pd.DataFrame(out, columns=columns)
 
     return table(spark, folder, "documents").select("doc_id", "text").mapInPandas(run, "packet_id bigint, page_no int, mode string, height int, width int, data binary")
 

@@ -70,3 +70,40 @@ def test_odd_images(spark):
     fixed = R.page_repairs(df).orderBy("packet_id", "page_no").collect()
     assert len(fixed) == 5 and all(r.data is None or r.skew is None or r.height * r.width == len(r.data) for r in fixed)
     assert R.page_scores(df.limit(0)).count() == 0
+
+
+def test_pages_are_handed_on_in_parts(spark, tmp_path, monkeypatch):
+    """Drawn pages of a batch of texts do not stand in memory at once; no page is lost at a seam."""
+    from packetflow.plans import images
+
+    seen = []
+    monkeypatch.setattr(images, "table", lambda *_: Texts([(i, "a word " * (i * 40)) for i in range(60)], seen))
+    images.document_pages(spark, "")
+    sizes = [int((b.height * b.width).sum()) for b in seen]
+    assert [i for b in seen for i in b.packet_id] == list(range(60)) and all((b.height * b.width == b.data.map(len)).all() for b in seen)
+    assert len(sizes) > 2 and max(sizes) < 2 * images.PART
+
+
+class Texts:
+    """A table whose mapInPandas runs at once, on one batch."""
+
+    def __init__(self, rows, seen):
+        self.rows, self.seen = rows, seen
+
+    def select(self, *_):
+        return self
+
+    def mapInPandas(self, run, _):
+        import pandas as pd
+
+        self.seen.extend(run(iter([pd.DataFrame(self.rows, columns=["doc_id", "text"])])))
+
+
+def test_smoothing_and_windows_in_whole_numbers():
+    g = np.random.default_rng(5).integers(0, 256, (61, 47)).astype(np.uint8)
+    weights, padded = np.array([1, 4, 6, 4, 1], float) / 16, np.pad(g.astype(float), 2, mode="reflect")
+    rows = sum(w * padded[i : i + 61] for i, w in enumerate(weights))
+    right = np.rint(sum(w * rows[:, i : i + 47] for i, w in enumerate(weights))).astype(np.uint8)
+    assert np.array_equal(R.smooth(g), right) and (R.smooth(np.full((9, 9), 255, np.uint8)) == 255).all()
+    dark, at = g < 100, np.pad(g < 100, 1)
+    assert np.array_equal(R._windows(dark, np.logical_or, False), np.array([[at[y : y + 3, x : x + 3].any() for x in range(47)] for y in range(61)]))
